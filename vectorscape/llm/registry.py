@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from vectorscape.llm import bpe, decontaminate
+from vectorscape.llm import bpe, chat, decontaminate, licenses
 
 
 def queries() -> dict:
     return {
         "op2_bpe": bpe.op2_bpe,
+        "op3_chat": chat.op3_chat,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.SQL}
+    return {"op3_chat": chat.SQL, "op9_decontaminate": decontaminate.SQL}
