@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vectorscape.llm import bpe, chat, decontaminate, licenses
+from vectorscape.llm import bpe, chat, decontaminate, licenses, pii
 
 
 def queries() -> dict:
     return {
         "op2_bpe": bpe.op2_bpe,
         "op3_chat": chat.op3_chat,
+        "op5_pii": pii.op5_pii,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_licenses": licenses.op10_licenses,
     }
