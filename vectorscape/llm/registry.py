@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from vectorscape.llm import bpe, chat, decontaminate, licenses, pii
+from vectorscape.llm import bpe, chat, decontaminate, licenses, pii, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_bpe": bpe.op2_bpe,
         "op3_chat": chat.op3_chat,
+        "op4_quality": quality.op4_quality,
         "op5_pii": pii.op5_pii,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op3_chat": chat.SQL, "op4_quality": quality.SQL, "op9_decontaminate": decontaminate.SQL}
