@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vectorscape.llm import bpe, chat, decontaminate, licenses, pii, quality, toxicity
+from vectorscape.llm import bpe, chat, decontaminate, licenses, pii, quality, shards, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": shards.op1_sharding,
         "op2_bpe": bpe.op2_bpe,
         "op3_chat": chat.op3_chat,
         "op4_quality": quality.op4_quality,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.SQL, "op4_quality": quality.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op1_sharding": shards.SQL, "op3_chat": chat.SQL, "op4_quality": quality.SQL, "op9_decontaminate": decontaminate.SQL}
