@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorscape.llm import bpe, chat, decontaminate, licenses, pii, quality, shards, toxicity
+from vectorscape.llm import bpe, chat, decontaminate, licenses, neardup, pii, quality, shards, toxicity
 
 
 def queries() -> dict:
@@ -13,10 +13,11 @@ def queries() -> dict:
         "op4_quality": quality.op4_quality,
         "op5_pii": pii.op5_pii,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_near_join": neardup.op7_near_join,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": shards.SQL, "op3_chat": chat.SQL, "op4_quality": quality.SQL, "op9_decontaminate": decontaminate.SQL}
+    return {"op1_sharding": shards.SQL, "op3_chat": chat.SQL, "op4_quality": quality.SQL, "op7_near_join": neardup.SQL, "op9_decontaminate": decontaminate.SQL}
