@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectorscape.llm import bpe, chat, decontaminate, licenses, neardup, pii, quality, shards, toxicity
+from vectorscape.llm import bpe, chat, decontaminate, licenses, neardup, pii, quality, shards, substrings, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_pii": pii.op5_pii,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_near_join": neardup.op7_near_join,
+        "op8_repeats": substrings.op8_repeats,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_licenses": licenses.op10_licenses,
     }
