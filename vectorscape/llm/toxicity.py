@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorscape.llm.shared import ALNUM_BYTES, slices, table, utf8, words
+from vectorscape.llm.shared import ALNUM_BYTES, LOWER, slices, table, utf8, words
 
 #: Labelled rows that are learned from.
 SAMPLE = 20_000
@@ -47,6 +47,8 @@ CONTEXT, NEIGHBOURS, CROWD = 120, 100, 3
 #: Beta priors (toxic, clean) of misspelled and of quoted hits; that of exact ones is what all entries show, worth so many rows.
 MISSPELLED_PRIOR, QUOTED_PRIOR, POOLED_WEIGHT = (1.2, 1.0), (1.0, 2.0), 4.0
 _CACHE = 300_000
+#: Offsets in a word at which the sieve looks: no piece of an entry can stand further on.
+_OFFSETS = 64 + 16
 # Quotation marks that open or close, and those that do both.
 _OPEN, _CLOSE, _BOTH = "“„«‹", "”»›", '"'
 
@@ -61,11 +63,12 @@ class Entry(NamedTuple):
 
 
 class Node:
-    __slots__ = ("entry", "next")
+    __slots__ = ("entry", "most", "next")
 
     def __init__(self):
         self.next: dict[str, Node] = {}
         self.entry: Entry | None = None
+        self.most = 0  # the greatest distance that an entry below allows
 
 
 class Lexicon:
@@ -79,7 +82,43 @@ class Lexicon:
             node = self.root
             for c in e.text:
                 node = node.next.setdefault(c, Node())
+                node.most = max(node.most, e.distance)
             node.entry = e
+        self._sieve = self._pieces()
+
+    def _pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which two and three bytes at which offset let a word match.
+
+        Of distance + 1 pieces of an entry one is spelled right in any match, moved by the edits before it, of
+        up to 4 bytes each; edits between pieces count for the right one, so the first piece doesn't move.
+        """
+        two, three = (np.zeros((_OFFSETS, 1 << 16), bool) for _ in range(2))
+        for e in self.entries:
+            n, k = len(e.text), e.distance + 1
+            for j in range(k):
+                piece = e.text[j * n // k : (j + 1) * n // k].encode()
+                start = len(e.text[: j * n // k].encode())
+                move = 4 * e.distance if j else 0
+                for o in range(max(0, start - move), min(_OFFSETS, start + move + 1)):
+                    if len(piece) >= 3:
+                        three[o, (piece[0] | piece[1] << 8) * 40503 + piece[2] * 30011 & 0xFFFF] = True
+                    else:
+                        two[o, piece[0] | piece[1] << 8] = True
+        return two, three
+
+    def possible(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of the words may match at all."""
+        out = np.zeros(len(starts), bool)
+        for o in range(_OFFSETS):
+            two, three = (t[o] for t in self._sieve)
+            at = np.flatnonzero(~out & (ends - starts > o + 1))
+            if not (two.any() or three.any()) or len(at) == 0:
+                continue
+            p = starts[at] + o
+            g = LOWER[data[p]].astype(np.int64) | LOWER[data[p + 1]].astype(np.int64) << 8
+            q = np.minimum(p + 2, len(data) - 1)
+            out[at] = two[g] | (three[g * 40503 + LOWER[data[q]].astype(np.int64) * 30011 & 0xFFFF] & (ends[at] - starts[at] > o + 2))
+        return out
 
     def match(self, word: str) -> list[tuple[Entry, int]]:
         """Entries within their distance of ``word``, and the distances.
@@ -93,7 +132,6 @@ class Lexicon:
             mask[c] = mask.get(c, 0) | 1 << i
         n = len(word)
         full = (1 << (min(n, LONGEST + 4) + 1)) - 1
-        levels = range(1, self.most + 1)
         found: list[tuple[Entry, int]] = []
         stack = [(self.root, tuple((2 << e) - 1 & full for e in range(self.most + 1)))]
         while stack:
@@ -101,7 +139,7 @@ class Lexicon:
             for c, child in node.next.items():
                 m = mask.get(c, 0)
                 new = [(state[0] & m) << 1]
-                for e in levels:
+                for e in range(1, child.most + 1):
                     new.append(((state[e] & m) << 1 | state[e - 1] | state[e - 1] << 1 | new[-1] << 1) & full)
                 if not new[-1]:
                     continue
@@ -158,7 +196,8 @@ class Scanner:
         if len(self.known) > _CACHE:
             self.known.clear()
         meaning: dict[int, tuple[tuple[str, int], ...]] = {}
-        for k, h in enumerate(unique.tolist()):
+        likely = np.flatnonzero(self.lexicon.possible(data, starts[at], ends[at]))
+        for k, h in zip(likely.tolist(), unique[likely].tolist()):
             hits = self.known.get(h)
             if hits is None:
                 w = bytes(data[starts[at[k]] : ends[at[k]]]).translate(ALNUM_BYTES).decode("utf-8", "replace")
