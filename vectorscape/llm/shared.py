@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a kernel handles at a time; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Rows of a batch that travels between the JVM and Python: a tenth of Spark's default, as rows are whole texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder; from here on, batches of the session's Python operators are small enough for whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

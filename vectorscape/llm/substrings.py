@@ -41,22 +41,34 @@ from vectorscape.llm.shared import discard, materialise, mix, slices, table, utf
 
 LENGTH, ANCHOR = 400, 128
 #: Contexts in a group of suffix sorting, bytes of text whose suffixes are sorted at once, bytes of a broadcast.
-GROUP, SORT_BYTES, SEND_BYTES = 256, 1 << 20, 64 << 20
+GROUP, SORT_BYTES, SEND_BYTES = 256, 1 << 18, 64 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers, from 0, of the base and of its inverse; kept, as slices are of one size."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_B, _B_INVERSE)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 class Rolling:
     """Polynomial hashes of any stretch of a byte array."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        up, self.inverse = both_powers(n + 1)
         with np.errstate(over="ignore"):
-            up, down = np.full(n + 1, _B, np.uint64), np.full(n + 1, _B_INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            self.inverse = np.cumprod(down)
             self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(up)[:n], out=self.sums[1:])
+            x = data.astype(np.uint64)
+            x += np.uint64(1)
+            x *= up[:n]
+            np.cumsum(x, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -223,10 +235,10 @@ def repeated_runs(docs: DataFrame, length: int, anchor: int, keep_first: bool, g
 
     # One copy of each context is cut out of the text of the row where it stands first.
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("a", "c", "n_contexts", "low", "high")).alias("wanted"))
-    by_row = sized_broadcast(by_row, wanted.count() * 40, send)
+    by_row = sized_broadcast(by_row, wanted.count() * 80, send)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_text"):
             out = []
             for row, text, of in zip(*(c.to_pylist() for c in b.columns)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -333,7 +345,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     lost = repeated_runs(plain, length, anchor, keep_first, group, send)
-    n_bytes = lost.agg(F.sum(F.size("runs") * 8 + 32)).first()[0] or 0
+    n_bytes = lost.agg(F.sum(F.size("runs") * 24 + 64)).first()[0] or 0
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
