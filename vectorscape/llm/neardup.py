@@ -252,7 +252,7 @@ def verify(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, i: int
         near = others[both / (sizes[others] + sizes[x] - both) >= threshold]
         links[x] += weight[near].sum()
         links[near] += weight[x]
-        for y in near.tolist():
+        for y in near[root[near] != root[x]].tolist():  # equal roots are one component already
             a, b = find(x), find(y)
             if a != b:
                 root[max(a, b)] = min(a, b)
