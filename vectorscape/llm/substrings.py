@@ -194,8 +194,47 @@ def runs(starts: np.ndarray, length: int) -> list[dict]:
     return [{"s": int(p[0]), "e": int(p[-1]) + length} for p in np.split(starts, cut)]
 
 
-def sized_broadcast(df: DataFrame, n_bytes: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if n_bytes <= limit else df
+#: Bits of the filter that keeps texts which aren't concerned out of a shuffle: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def filter_of(rows: DataFrame) -> np.ndarray:
+    """A bit map of hashes of the names in ``rows`` (row), merged in the executors, 2 ** 20 words at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                h = name_hashes(b.column(0).to_pylist())
+                word, at = np.unique(h >> 6, return_inverse=True)
+                bits = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(bits, at, np.uint64(1) << (h & 63).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    found = rows.select("row").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def name_hashes(names: list[bytes]) -> np.ndarray:
+    return (np.frombuffer(b"".join(n[-8:] for n in names), np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def in_filter(names: list[bytes], bits: np.ndarray) -> np.ndarray:
+    h = name_hashes(names)
+    return (bits[h >> 6] >> (h & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def named(docs: DataFrame, bits=None, concerned: bool = True) -> DataFrame:
+    """(row, *columns) of (_key, _text); with a broadcast filter, only the rows that are, or aren't, in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "_text"):
+            names = row_names(b, *utf8(b.column(1)))
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *b.columns], ["row", "_key", "_text"])
+            yield out if bits is None else out.filter(pa.array(in_filter(names, bits.value) == concerned))
+
+    return docs.mapInArrow(run, f"row binary, _key {docs.schema['_key'].dataType.simpleString()}, _text string")
 
 
 _RUNS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
@@ -235,7 +274,8 @@ def repeated_runs(docs: DataFrame, length: int, anchor: int, keep_first: bool, g
 
     # One copy of each context is cut out of the text of the row where it stands first.
     by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("a", "c", "n_contexts", "low", "high")).alias("wanted"))
-    by_row = sized_broadcast(by_row, wanted.count() * 80, send)
+    small = wanted.count() * 80 <= send
+    bits = None if small else docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -246,8 +286,7 @@ def repeated_runs(docs: DataFrame, length: int, anchor: int, keep_first: bool, g
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], ["a", "c", "n_contexts", "row", "low", "width", "context"])
 
-    named = docs.mapInArrow(named_rows, "row binary, _text string")
-    cuts = named.join(by_row, "row").select("row", "_text", "wanted").mapInArrow(cut, "a bigint, c bigint, n_contexts bigint, row binary, low int, width int, context binary")
+    cuts = named(docs, bits).join(F.broadcast(by_row) if small else by_row, "row").select("row", "_text", "wanted").mapInArrow(cut, "a bigint, c bigint, n_contexts bigint, row binary, low int, width int, context binary")
     cuts = materialise(cuts, "cuts")
     flagged = small_groups(cuts.filter(F.col("n_contexts") <= group), length, keep_first)
     large = cuts.filter(F.col("n_contexts") > group)
@@ -269,11 +308,6 @@ def repeated_runs(docs: DataFrame, length: int, anchor: int, keep_first: bool, g
     return out
 
 
-def named_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "_text"):
-        yield pa.RecordBatch.from_arrays([pa.array(row_names(b, *utf8(b.column(1))), pa.binary()), b.column(1)], ["row", "_text"])
-
-
 def small_groups(cuts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """(a, c, flags) by suffix arrays over whole groups, many groups at a time."""
 
@@ -314,7 +348,8 @@ def large_groups(cuts: DataFrame, length: int, keep_first: bool) -> DataFrame:
                 n = pa.array(np.zeros(width, np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()).take(n), pa.array([c], pa.int64()).take(n), pa.array([row], pa.binary()).take(n), pa.array(at.astype(np.int32)), pa.array((at + low).astype(np.int32)), pa.array(h)], ["a", "c", "row", "at", "place", "h"])
 
-    each = cuts.select("a", "c", "row", "low", "width", "context").mapInArrow(strings, "a bigint, c bigint, row binary, at int, place int, h bigint")
+    dealt = cuts.select("a", "c", "row", "low", "width", "context").repartition("c")  # contexts of a group go apart
+    each = dealt.mapInArrow(strings, "a bigint, c bigint, row binary, at int, place int, h bigint")
     twice = each.groupBy("a", "h").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first")).filter("n > 1")
     both = each.join(twice, ["a", "h"])
     if keep_first:
@@ -347,10 +382,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     lost = repeated_runs(plain, length, anchor, keep_first, group, send)
     n_bytes = lost.agg(F.sum(F.size("runs") * 24 + 64)).first()[0] or 0
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([pa.array(row_names(b, *utf8(b.column(1))), pa.binary()), *b.columns], ["row", "_key", "_text"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(iter([b]), "_text"):
@@ -363,7 +394,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     removed.append([{"s": x, "e": z} for x, z in cut])
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(removed, _RUNS), pa.array(kept, pa.binary())], ["k", "removed", "kept"])
 
-    both = plain.mapInArrow(name, f"row binary, _key {kind}, _text string").join(sized_broadcast(lost, n_bytes, send), "row", "left")
+    if n_bytes <= send:
+        both = named(plain).join(F.broadcast(lost), "row", "left")
+    else:
+        bits = docs.sparkSession.sparkContext.broadcast(filter_of(lost))
+        rest = named(plain, bits, concerned=False).withColumn("runs", F.lit(None).cast(lost.schema["runs"].dataType))
+        both = named(plain, bits).join(lost, "row", "left").unionByName(rest)
     out = both.select("_key", "_text", "runs").mapInArrow(run, f"k {kind}, removed array<struct<s: int, e: int>>, kept binary")
     return out.withColumnRenamed("k", key)
 
