@@ -328,6 +328,13 @@ def test_decontaminate_corners(spark):
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontaminate_one_word_item_begins_another(spark):
+    bench = spark.createDataFrame([(1, "z"), (2, "z a"), (3, "z a b"), (4, "q r s t")], "item_id long, text string")
+    docs = odd(spark, [(1, "x z a"), (2, "b c z a"), (3, "b q r s"), (4, "y z a b"), (5, "y y z a")]).coalesce(1)
+    r = {x.doc_id: (x.n_hit, x.items) for x in decontaminate.contamination(docs, bench).collect()}
+    assert r == {1: (2, ["1", "2"]), 2: (2, ["1", "2"]), 3: (0, []), 4: (3, ["1", "2", "3"]), 5: (2, ["1", "2"])}
+
+
 # 10
 
 

@@ -91,7 +91,8 @@ class Needles:
         at = np.flatnonzero(good)
         reach[at] = stops[np.searchsorted(stops, at)] - at + 1
         if self.shortest <= 1:
-            reach[np.isin(h, self.singles)] |= 1
+            at = np.isin(h, self.singles)
+            reach[at] = np.maximum(reach[at], 1)
         return reach
 
 
@@ -107,7 +108,7 @@ def search(data: np.ndarray, offsets: np.ndarray, needles: Needles) -> tuple[np.
         return first, []
     last = np.zeros(n, bool)
     last[first[1:][first[1:] > first[:-1]] - 1] = True
-    reach = needles.reach(h, last)
+    reach = np.minimum(needles.reach(h, last), np.repeat(first[1:], np.diff(first)) - np.arange(n))  # to the row's end at most
     suffixes = np.flatnonzero(reach >= needles.shortest)
     if len(suffixes) == 0:
         return first, []
