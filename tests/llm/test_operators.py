@@ -328,6 +328,20 @@ def test_decontaminate_corners(spark):
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontaminate_null_and_repeated_keys(spark):
+    bench = spark.createDataFrame([(1, "one two"), (2, "three four"), (3, "five six"), (4, "z")], "item_id long, text string")
+    rows = [(None, "one two"), (None, "clean"), (None, "three four z"), (None, "clean too"), (None, None), (7, "five six"), (7, "clean"), (7, "clean"), (8, "z one two")]
+    docs = odd(spark, rows)
+    want = sorted([(0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 2, 1), (0, 3, 2), (7, 1, 0), (7, 1, 0), (7, 2, 1), (8, 3, 2)])
+    for blocks in (1 << 20, 16, 8):
+        got = decontaminate.contamination(docs, bench, block_bytes=blocks).collect()
+        assert sorted((r.doc_id or 0, r.n_words, len(r["items"])) for r in got) == want
+        assert all(r.contaminated == (len(r["items"]) > 0) for r in got)
+        left = decontaminate.remove(docs, bench, block_bytes=blocks)
+        assert left.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "clean"), (0, "clean too"), (7, "clean"), (7, "clean")]
+
+
 def test_decontaminate_one_word_item_begins_another(spark):
     bench = spark.createDataFrame([(1, "z"), (2, "z a"), (3, "z a b"), (4, "q r s t")], "item_id long, text string")
     docs = odd(spark, [(1, "x z a"), (2, "b c z a"), (3, "b q r s"), (4, "y z a b"), (5, "y y z a")]).coalesce(1)

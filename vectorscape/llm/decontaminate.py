@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorscape.llm.shared import ALNUM_BYTES, slices, table, utf8, words
+from vectorscape.llm.shared import ALNUM_BYTES, discard, materialise, slices, table, utf8, words
 
 SIZE = 10
 #: Benchmark text that one pass carries to the tasks.
@@ -170,35 +170,74 @@ def matches(docs: DataFrame, items: list[tuple[object, str | None]], key: str =
     return docs.select(F.col(key).alias("k"), F.col(text).alias("_text")).mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
+def blocks_of(benchmark: DataFrame, item: str, item_text: str, block_bytes: int) -> tuple[list[DataFrame], str]:
+    """The benchmark in blocks (i, t) of about half of ``block_bytes`` of text each, and the type of its ids."""
+    bench = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t"))
+    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = int(total // max(1, block_bytes // 2)) + 1
+    kind = "string" if bench.schema["i"].dataType.simpleString() == "string" else "bigint"
+    return [bench if n == 1 else bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)], kind
+
+
+def items_of(block: DataFrame) -> list[tuple[object, str | None]]:
+    return [(r.i, r.t) for r in block.collect()]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_words, n_hit, items, spans, contaminated) of every document.
 
     ``items``: the distinct items with occurring windows, sorted as strings. With more than one block, each
-    block is a pass over the documents, and the passes meet by key (repeated keys need distinct ones first).
+    block is a pass over the documents. The rows are numbered and written out first, and the passes meet by
+    those numbers, so null and repeated keys stay rows of their own.
     """
-    bench = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t"))
-    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = int(total // max(1, block_bytes // 2)) + 1
-    kind = "string" if bench.schema["i"].dataType.simpleString() == "string" else "bigint"
-    parts = []
-    for k in range(n):
-        block = bench if n == 1 else bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        parts.append(matches(docs, [(r.i, r.t) for r in block.collect()], key, text, kind, size))
-    if n == 1:
-        out = parts[0]
+    blocks, kind = blocks_of(benchmark, item, item_text, block_bytes)
+    if len(blocks) == 1:
+        out = matches(docs, items_of(blocks[0]), key, text, kind, size)
     else:
+        rows = docs.select(F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("_id"), F.col(text).alias("_t"))
+        rows = materialise(rows, "rows")
+        parts = [matches(rows, items_of(b), "_id", "_t", kind, size) for b in blocks]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.flatten(F.collect_list("spans")).alias("spans"))
+        out = out.groupBy("_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.flatten(F.collect_list("spans")).alias("spans"))
+        out = out.withColumn(key, F.col("_id.key"))
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"].cast("string"))))
     return out.select(key, "n_words", F.size("hit").cast("long").alias("n_hit"), items.alias("items"), "spans", (F.size("hit") > 0).alias("contaminated"))
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents, all columns, without those that hold a benchmark window."""
-    bad = contamination(docs, benchmark, key, text, **how).filter("contaminated").select(F.col(key).alias("_bad"))
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, all columns, without those that hold a benchmark window.
+
+    Each row is judged where it stands and keys are not read. Between blocks the rows that are left are
+    written out, so a task holds the windows of one block at a time.
+    """
+    blocks, _ = blocks_of(benchmark, item, item_text, block_bytes)
+    at, left = docs.columns.index(text), docs
+    for i, block in enumerate(blocks):
+        before, left = left, without(left, items_of(block), at, size)
+        if i < len(blocks) - 1:
+            left = materialise(left, "clean")
+        if i and i < len(blocks) - 1:
+            discard(before)
+    return left
+
+
+def without(docs: DataFrame, items: list[tuple[object, str | None]], at: int, size: int) -> DataFrame:
+    """``docs`` without the rows whose text, column number ``at``, holds a window of ``items``."""
+    given = docs.sparkSession.sparkContext.broadcast(items)  # at most block_bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needles = None
+        for b in batches:
+            for s in slices(iter([b]), b.schema.names[at]):
+                needles = needles or Needles(given.value, size)
+                first, found = search(*utf8(s.column(at)), needles)
+                keep = np.ones(s.num_rows, bool)
+                keep[np.searchsorted(first, [x for x, _ in found], side="right") - 1] = False
+                yield s.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
