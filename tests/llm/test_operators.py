@@ -102,6 +102,23 @@ def test_any_text_reads_back(spark):
         assert (role, text) == (texts[row.conv_id][:5], texts[row.conv_id])
 
 
+def test_each_row_is_a_turn(spark, tmp_path):
+    """Tied, repeated and null turns against the SQL; its order says nothing about ties of different rows, so digests are compared where order doesn't count."""
+    rows = [
+        (1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 1, "assistant", "yo"), (1, None, "user", "last"),
+        (2, None, "assistant", "a"), (2, None, "assistant", "a"), (2, 5, "user", "first"), (3, None, None, None), (3, None, None, None),
+        (None, 0, "user", "x"), (None, 0, "user", "x"), (4, 0, "user", "b"), (4, 0, "assistant", "c"), (4, 0, "user", "a"), (4, 0, "assistant", "</s>"), (4, None, "user", "z"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    tied = "coalesce(conv_id, 0) = 4"
+    got = chat.op3_chat(spark, str(tmp_path))
+    same(got.filter(f"NOT ({tied})"), f"SELECT * FROM ({SQL['op3_chat']}) WHERE NOT ({tied})", str(tmp_path))
+    counts = "conv_id, n_turns, loss_chars, formatted_chars"
+    same(got.select(*counts.split(", ")), f"SELECT {counts} FROM ({SQL['op3_chat']})", str(tmp_path))
+    turns = "assistant\n</s>\nassistant\nc\nuser\na\nuser\nb\nuser\nz\n"
+    assert got.filter(tied).first().turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+
+
 # 4
 
 

@@ -15,7 +15,8 @@ A conversation isn't gathered: readers stream sorted segments.
 
 Rows: null texts and roles are empty strings; events without a conversation or a
 message form a group under null; exact repeats of an event count once; tied sequence
-numbers sort by kind, then text. Deltas before any message stand. An empty log gives
+numbers sort by kind, then text. In a table of finished turns each row is a turn, also
+those that tie, repeat or have no number. Deltas before any message stand. An empty log gives
 no conversation. Other columns of the log are ignored.
 """
 
@@ -26,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectorscape.llm.shared import table
@@ -113,8 +114,13 @@ def digests(segments: DataFrame) -> DataFrame:
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as a log: one ``message`` event each."""
-    return conversations.select("conv_id", F.col("turn").alias("msg"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A table of finished turns as a log: one ``message`` event for each row.
+
+    Rows are numbered within their conversation by turn (nulls last), role and text, so rows that tie or repeat stay turns of their own.
+    """
+    said = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")).cast("long")
+    return said.withColumn("msg", place).select("conv_id", "msg", F.col("msg").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
