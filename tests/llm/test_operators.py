@@ -176,6 +176,37 @@ def test_disclosing_terms(spark):
     assert pii.sanitise(docs).columns == docs.columns and pii.find(docs.limit(0)).count() == 0
 
 
+def test_rare_entities_disclose(spark):
+    """Names beside an entity that is seen once or twice; copies of a text change nothing, frequent words are no names."""
+    once, twice = "met with zebrafinch bob@y.org someone end1", ["someone met quokka eve@z.org end2", "with quokka eve@z.org met someone end3"]
+    others = [(1000 + i, f"note{i} met with someone end{i % 4}") for i in range(1500)]
+    named = {700: {"zebrafinch"}, 701: {"quokka"}, 702: {"quokka"}}
+    for copies in (1, 3):
+        docs = odd(spark, [*others, *[(700, once)] * copies, *[(701, twice[0])] * copies, *[(702, twice[1])] * copies, (None, once), (None, "plain")])
+        text = {700: once, 701: twice[0], 702: twice[1]}
+        rows = pii.find(docs).collect()
+        for r in rows:
+            if r.doc_id in named:
+                assert {text[r.doc_id][x.start : x.end] for x in r.spans if x.kind == 4} == named[r.doc_id]
+        assert sum(len(r.spans) for r in rows if r.doc_id not in named and r.doc_id is not None) == 0
+        clean = sorted((r.doc_id or 0, r.text) for r in pii.sanitise(docs).collect())
+        assert len(clean) == docs.count() and not any(n in t for _, t in clean for n in ("zebrafinch", "quokka", "@"))
+        assert sorted((r.doc_id or 0, r.text) for r in pii.sanitise(docs, send=0).collect()) == clean
+
+
+def test_words_end_with_their_row():
+    for texts in (["a b", "c", "", None, "é d.", "e"], ["", "x"], ["", None], ["a."]):
+        assert pii.word_count(*shared.utf8(pa.array(texts, pa.string()))) == sum(len(decontaminate.word_list(t)) for t in texts)
+
+
+def test_overlaps():
+    r = random.Random(9)
+    for _ in range(300):
+        spans = sorted((s := r.randint(0, 40), 0, s + r.randint(1, 12)) for _ in range(r.randint(0, 6)))
+        inside = pii.overlaps(spans)
+        assert all(inside(s, s + n) == any(a < s + n and s < b for a, _, b in spans) for s in range(50) for n in (1, 4))
+
+
 # 6
 
 

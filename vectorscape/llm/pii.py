@@ -5,11 +5,14 @@ Then the corpus says which terms give an entity away although no pattern knows t
 term is a word within ``reach`` words of an entity. With n(t) its occurrences in the
 whole corpus and n(e, t) those in reach of entity e, the term reveals e to the degree
 
-    PMI(e; t) / IC(e) = 1 + log2 p(e|t) / IC(e),   p(e|t) = n(e, t) / n(t),   IC(e) = -log2 (n(e) / N),
-
-1 if the term never stands elsewhere. Both counts take each different context of an
-entity once, so copies prove nothing; fewer than ``support`` contexts are no evidence.
-Terms from ``generalise_at`` on are generalised in reach of their entity, terms from
+    PMI(e; t) / IC(e) = 1 + log2 p(e|t) / IC(e),   p(e|t) = n(e, t) / (n(t) + prior),   IC(e) = -log2 (n(e) / N).
+
+``prior`` shrinks p(e|t): it stands for occurrences elsewhere that the corpus doesn't
+show. A term that is seen only beside e nears degree 1 as it is seen more often, and one
+sight is evidence where e is rare enough: with a prior of 1 it has p = 1/2, which is
+degree 0.9 from IC(e) = 10 on. Both counts take each different context of an entity
+once, so copies change nothing in p(e|t). An occurrence in reach of several mentions of an
+entity is one. Terms from ``generalise_at`` on are generalised in reach of their entity, terms from
 ``remove_at`` on removed. All counts cover the whole corpus.
 
 Base spans are the leftmost, non-overlapping matches of each kind; positions are code
@@ -23,7 +26,9 @@ are called. An empty table has no entities and no terms.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorscape.llm.shared import ALNUM_BYTES, materialise, slices, table, utf8, words
+from vectorscape.llm.shared import ALNUM, ALNUM_BYTES, materialise, slices, table, utf8, words
 
 # Kinds in the contract's order, then the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, SUPPORT = 8, 3
+REACH, PRIOR = 8, 1.0
 GENERALISE_AT, REMOVE_AT = 0.9, 0.97
 MIN_TERM = 3
 #: Terms that may be sent to every task, about 16 MB; more are joined.
@@ -120,6 +125,18 @@ _FOUND_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), (
 _NEAR_TYPE = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+def overlaps(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a stretch of text overlaps one of ``spans``, which are sorted by start."""
+    starts = [s for s, _, _ in spans]
+    ends = list(accumulate((e for _, _, e in spans), max))  # the furthest end so far
+
+    def inside(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)  # the spans that begin before the end
+        return k > 0 and ends[k - 1] > start
+
+    return inside
+
+
 def scan_batch(texts: list[str | None], reach: int) -> tuple[list[list[dict]], list[list[dict]]]:
     """Base spans of each text, and the terms in reach of them."""
     found, near = [], []
@@ -127,13 +144,15 @@ def scan_batch(texts: list[str | None], reach: int) -> tuple[list[list[dict]], l
     for t in texts:
         t = t or ""
         spans = base_spans(t)
+        inside = overlaps(spans)
         mine = [{"start": s, "kind": k, "end": e, "entity": stable(entity(k, t[s:e]))} for s, k, e in spans]
-        terms = []
+        terms, seen = [], set()
         for x in mine:
             around = near_words(t, x["start"], x["end"], reach)
             context = stable(" ".join(t[s:e] for s, e in around))
             for s, e in around:
-                if e - s >= MIN_TERM and not any(s < z["end"] and z["start"] < e for z in mine):
+                if e - s >= MIN_TERM and (x["entity"], s) not in seen and not inside(s, e):
+                    seen.add((x["entity"], s))
                     terms.append({"entity": x["entity"], "context": context, "term": 0, "start": s, "end": e})
                     pending.append((terms[-1], t[s:e]))
         found.append(mine)
@@ -148,6 +167,12 @@ def stable(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def word_count(data: np.ndarray, offsets: np.ndarray) -> int:
+    """The number of words of some rows; a word never crosses a row."""
+    edges = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    return len(bytes(data).translate(ALNUM_BYTES).split()) + int((ALNUM[data[edges]] & ALNUM[data[edges - 1]]).sum())
+
+
 def find_base(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
     """(key, n_words, found, near) of every document."""
     kind = docs.schema[key].dataType.simpleString()
@@ -155,8 +180,7 @@ def find_base(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
             found, near = scan_batch(b.column(1).to_pylist(), reach)
-            data, _ = utf8(b.column(1))
-            n = len(bytes(data).translate(ALNUM_BYTES).split())
+            n = word_count(*utf8(b.column(1)))
             counts = pa.array([n] + [0] * (b.num_rows - 1), pa.int64())  # of the slice, for N
             yield pa.RecordBatch.from_arrays([b.column(0), counts, pa.array(found, _FOUND_TYPE), pa.array(near, _NEAR_TYPE)], ["k", "n_words", "found", "near"])
 
@@ -182,26 +206,27 @@ def count_terms(docs: DataFrame, text: str, terms: DataFrame, send: int) -> Data
     return counts if wanted is not None else counts.join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, base: DataFrame, text: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT, send: int = SEND_TERMS) -> DataFrame:
+def disclosures(docs: DataFrame, base: DataFrame, text: str = "text", prior: float = PRIOR, generalise_at: float = GENERALISE_AT, send: int = SEND_TERMS) -> DataFrame:
     """(entity, term, degree) of the terms that reveal an entity; ``base`` is what ``find_base`` found."""
     near = base.select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.term").groupBy("entity", "context", "term").agg(F.count("*").alias("again"))
-    pairs = materialise(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support), "pairs")
+    pairs = materialise(near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.sum("again").alias("again")), "pairs")
     total = base.agg(F.sum("n_words")).first()[0] or 0
     counts = count_terms(docs, text, pairs.select("term").distinct(), send)
     mentions = base.select(F.explode("found").alias("x")).groupBy("x.entity").agg(F.count("*").alias("n_entity"))
     both = pairs.join(counts, "term").join(mentions, "entity")
     content = -F.log2(F.least(F.lit(0.5), F.col("n_entity") / F.lit(float(max(total, 1)))))
-    degree = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n"))) / content
+    n = F.col("n") - F.col("again") + F.col("n_both")  # contexts of the entity once, all else as it stands
+    degree = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / (n + F.lit(float(prior))))) / content
     return both.select("entity", "term", degree.alias("degree")).filter(F.col("degree") >= generalise_at)
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, send: int = SEND_TERMS) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, prior: float = PRIOR, generalise_at: float = GENERALISE_AT, send: int = SEND_TERMS) -> DataFrame:
     """(key, spans array<struct<start, kind, end, degree>>) of every document, by start, then kind.
 
     ``kind`` counts in ``KINDS``; the degree of a base span is 1.
     """
     base = materialise(find_base(docs, key, text, reach).withColumn("_row", F.monotonically_increasing_id()), "pii")
-    revealed = materialise(disclosures(docs, base, text, support, generalise_at, send), "terms")
+    revealed = materialise(disclosures(docs, base, text, prior, generalise_at, send), "terms")
     mine = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(1.0).alias("degree")))
     rows = base.select(key, "_row", mine.alias("spans"), "near")
     if revealed.isEmpty():
@@ -228,19 +253,24 @@ def replaced(text: str | None, spans: list[tuple[int, int, int, float]], remove_
     return "".join([*out, text[done:]])
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, send: int = SEND_TERMS) -> DataFrame:
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, prior: float = PRIOR, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, send: int = SEND_TERMS) -> DataFrame:
     """``docs``, all columns and rows, with personal data and revealing terms taken out of the text.
 
     The texts are scanned again rather than shuffled, as long as the list of disclosures is at most ``send`` long.
     """
     base = materialise(find_base(docs, key, text, reach), "pii")
-    revealed = materialise(disclosures(docs, base, text, support, generalise_at, send), "terms")
+    revealed = materialise(disclosures(docs, base, text, prior, generalise_at, send), "terms")
     if (n := revealed.count()) > send:
-        return sanitise_joined(docs, key, text, reach, support, generalise_at, remove_at, send)
-    degree = {(r.entity, r.term): r.degree for r in revealed.collect()} if n else {}
+        return sanitise_joined(docs, text, reach, prior, generalise_at, remove_at, send)
+    sent = revealed.toArrow() if n else None
+    columns_of = [sent.column(c).to_numpy() for c in ("entity", "term", "degree")] if n else None
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        degree = {}
+        if columns_of:
+            entities, terms, degrees = (c.tolist() for c in columns_of)
+            degree = dict(zip(zip(entities, terms), degrees))
         for b in batches:
             for s in slices(iter([b]), b.schema.names[at]):
                 texts = s.column(at).to_pylist()
@@ -256,10 +286,11 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: in
     return docs.mapInArrow(run, docs.schema)
 
 
-def sanitise_joined(docs: DataFrame, key: str, text: str, reach: int, support: int, generalise_at: float, remove_at: float, send: int) -> DataFrame:
-    """``sanitise`` for any number of disclosures; spans meet their texts by key, which must be distinct."""
-    spans = find(docs, key, text, reach, support, generalise_at, send).select(F.col(key).alias("_key"), F.col("spans").alias("_spans"))
-    both = docs.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+def sanitise_joined(docs: DataFrame, text: str, reach: int, prior: float, generalise_at: float, remove_at: float, send: int) -> DataFrame:
+    """``sanitise`` for any number of disclosures; rows are numbered and written out, and spans meet their texts by those numbers."""
+    numbered = materialise(docs.select(F.struct("*").alias("doc"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_id")), "rows")
+    spans = find(numbered, "_id", "_text", reach, prior, generalise_at, send).select("_id", F.col("spans").alias("_spans"))
+    both = numbered.join(spans, "_id", "left").select("doc.*", "_spans")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
