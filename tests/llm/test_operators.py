@@ -308,6 +308,13 @@ def test_near_join(spark, monkeypatch, small_blocks):
     assert neardup.near_join(odd(spark).limit(0)).count() == 0
 
 
+def test_near_join_repeated_smallest_key(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (1, a), (2, a + " x"), (3, b), (3, "other words altogether"), (4, b + " y"), (5, b + " z")]
+    got = sorted(tuple(r) for r in neardup.near_join(odd(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 3, 0), (3, 3, 2), (4, 3, 2), (5, 3, 2)]
+
+
 def test_prefix_depth():
     d = neardup.prefix_depth(0.8, 32, 0.9999)
     assert 1 - (1 - 0.8**d) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 32

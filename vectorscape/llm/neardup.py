@@ -202,7 +202,7 @@ def candidate_edges(nodes: DataFrame, trees: int, depth: int, least: int) -> Dat
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int, send: int) -> DataFrame:
-    """(k, shingles binary) of the documents whose keys are in ``wanted`` (node)."""
+    """(k, set_key, shingles binary) of the documents whose keys are in ``wanted`` (node), one row for each set of a key."""
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("_text"))
     given = np.sort(np.array([r.node for r in wanted.collect()], np.int64)) if wanted.count() <= send else None
     if given is None:
@@ -215,9 +215,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int,
                 at = np.minimum(np.searchsorted(given, k), max(0, len(given) - 1))
                 b = b.filter(pa.array(given[at] == k if len(given) else np.zeros(len(k), bool)))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(*utf8(b.column(1)), size)], pa.binary())], ["k", "shingles"])
+                sets = [s.tobytes() for s in shingles(*utf8(b.column(1)), size)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["k", "set_key", "shingles"])
 
-    return rows.mapInArrow(run, "k bigint, shingles binary")
+    return rows.mapInArrow(run, "k bigint, set_key binary, shingles binary").groupBy("k", "set_key").agg(F.first("shingles").alias("shingles"))
 
 
 def verify(sets: list[np.ndarray], weight: np.ndarray, block: np.ndarray, i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -269,12 +270,12 @@ def near_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshol
     nodes = materialise(texts.groupBy("set_key").agg(F.min("k").alias("k"), F.count("*").alias("n_texts"), F.any_value("sig").alias("sig")), "nodes")
     rough = materialise(components(candidate_edges(nodes, trees, depth, least)), "rough")
 
-    members = rough.join(nodes.select("k", "n_texts"), F.col("node") == F.col("k")).select("k", "root", "n_texts")
+    members = rough.join(nodes.select("k", "set_key", "n_texts"), F.col("node") == F.col("k")).select("k", "set_key", "root", "n_texts")
     sets = sets_of(docs, rough.select("node"), key, text, size, send)
-    held = materialise(members.join(sets, "k"), "sets")
+    held = materialise(members.join(sets, ["k", "set_key"]), "sets")
     sizes = held.groupBy("root").agg(F.sum(F.octet_length("shingles")).alias("bytes"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    dealt = blocked(held.join(sizes, "root").withColumn("n", blocks), "root", "k", F.col("n")).select("root", "_i", "_j", "k", "n_texts", "shingles", "_b")
+    dealt = blocked(held.join(sizes, "root").withColumn("n", blocks), "root", "k", F.col("n")).select("root", "_i", "_j", "k", "set_key", "n_texts", "shingles", "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
@@ -283,12 +284,12 @@ def near_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshol
             links, root = verify(found, g.column("n_texts").to_numpy(), g.column("_b").to_numpy(), i, j, threshold)
             smallest = np.full(len(k), np.iinfo(np.int64).max)
             np.minimum.at(smallest, root, k)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(links), pa.array(smallest[root])], ["k", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(links), pa.array(smallest[root]), g.column("set_key").combine_chunks()], ["k", "links", "root", "set_key"])
 
-    checked = materialise(dealt.mapInArrow(run, "k bigint, links bigint, root bigint"), "links")
+    checked = materialise(dealt.mapInArrow(run, "k bigint, links bigint, root bigint, set_key binary"), "links")
     final = components(checked.filter("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b")))
-    links = checked.groupBy("k").agg(F.sum("links").alias("links"))
-    named = nodes.select("set_key", "k", "n_texts").join(final, F.col("k") == F.col("node"), "left").join(links, "k", "left")
+    links = checked.groupBy("k", "set_key").agg(F.sum("links").alias("links"))
+    named = nodes.select("set_key", "k", "n_texts").join(final, F.col("k") == F.col("node"), "left").join(links, ["k", "set_key"], "left")
     named = named.select("set_key", F.coalesce("root", "k").alias("class_id"), (F.col("n_texts") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = told.select("k", "set_key").join(named.withColumnRenamed("set_key", "_s"), (F.col("set_key") == F.col("_s")) & F.col("k").isNotNull(), "left")
     return out.select(F.col("k").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
