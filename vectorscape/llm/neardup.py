@@ -1,10 +1,10 @@
-"""Operator 7: n-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""Operator 7: n-gram Jaccard join by MinHash LSH bands, with exact verification.
 
 Texts with the same set of word shingles are one class from the start. Each class has a
-signature of ``trees * DEPTH`` minima; a tree of the forest is the trie of one stretch
-of them, kept as sorted prefixes. Prefixes are shortened from the full depth until two
-sets at the threshold share one in some tree with the target recall,
-1 - (1 - threshold ** depth) ** trees, which is what ``prefix_depth`` does.
+signature of ``trees * DEPTH`` minima in ``trees`` stretches. A prefix of each stretch is
+a bucket. Its depth is fixed: the longest at which two sets at the threshold share one
+with the target recall, 1 - (1 - threshold ** depth) ** trees (``prefix_depth``). As the
+threshold is fixed too, this replaces the sorted tries of an LSH forest.
 
 What shares a prefix is compared by whole signatures, widely enough that no pair at the
 threshold fails (``SLACK`` standard deviations), which yields candidate components. In
