@@ -30,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder takes its place only where the setting is absent (tests).
+    A temporary folder takes its place only where the setting is absent and all runs in one process (tests).
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="vectorscape-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -64,6 +66,24 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Keys with so many rows, or with this share of all rows, don't meet in one task of a join.
+HOT_ROWS, HOT_SHARE = 1000, 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``left.join(right, on)``, where ``right`` has each key once and ``n`` says how many of ``total`` rows of ``left`` have it.
+
+    Keys with many rows are sent to where their rows are. They are fewer than ``HOT_SHARE``, as their rows add up to
+    ``total`` at most; all others are shuffled.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    if total <= limit or right.filter(F.col(n) > limit).isEmpty():
+        return left.join(right, on)
+    hot = right.filter(F.col(n) > limit)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.filter(F.col(n) <= limit), on)
+    return rest.unionByName(left.join(F.broadcast(hot), on))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` has about ``limit`` bytes in each, one row at least."""
     for batch in batches:
@@ -171,6 +191,14 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return h[at], at
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def empty_text(col: str = "text"):
     """The text, or the empty string where it is null."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -12,14 +12,22 @@ end of the last of them is the anchor's context. So:
    one copy of each, and suffixes from their intervals are sorted. In suffix order the
    nearest neighbours with a smaller and with a greater place in the corpus give the
    longest previous and next factors; a factor of ``length`` bytes or more is a repeat.
-   Anchors with more contexts than fit a group are compared by hashes of all their
-   strings instead, a row each, combined before they are shuffled.
+
+Anchors with more contexts than fit a group are split before they are sorted. A string
+that starts l bytes before its anchor has l bytes to the left and length - l to the right
+of the anchor's start. The range of l is cut into ``WAYS`` parts; what all strings of a
+part have in common (its core) parts the group, so contexts that share a string of the
+part stay together. Contexts whose whole extent in a part is equal are one from then on,
+as they share all its strings. What is still too large is cut again; a part of one l has
+a core that is its extent, so this ends. A context makes ``WAYS`` rows a round at most
+for each part that it is still alive in, and never a row for each string.
 
 With ``keep_first`` only later copies go and the first of each, by key, stays. Contexts that
 stand alone around a unique anchor, nearly all, cost one row of 40 bytes.
 
-Strings are compared by 64-bit hashes of contexts and anchors taken together in step 1
-and in large groups, by their bytes in suffix arrays.
+Equal contexts and extents are told by 64-bit hashes of their bytes, taken together with
+those of their anchors; strings of different ones are compared in suffix arrays by their
+bytes.
 
 Rows: a null text is empty; texts shorter than ``length`` lose nothing. Rows that repeat a
 key and its text are one place for each; all rows come back. Null keys work as a key.
@@ -37,11 +45,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorscape.llm.neardup import groups
-from vectorscape.llm.shared import discard, materialise, mix, slices, table, utf8
+from vectorscape.llm.shared import discard, join_hot, materialise, mix, slices, table, utf8
 
 LENGTH, ANCHOR = 400, 128
-#: Contexts in a group of suffix sorting, bytes of text whose suffixes are sorted at once, bytes of a broadcast.
-GROUP, SORT_BYTES, SEND_BYTES = 256, 1 << 18, 64 << 20
+#: Contexts in a group of suffix sorting, parts that a larger one is cut into, bytes of text whose suffixes are sorted at once, bytes of a broadcast.
+GROUP, WAYS, SORT_BYTES, SEND_BYTES = 256, 4, 1 << 18, 4 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -282,21 +290,21 @@ def repeated_runs(docs: DataFrame, length: int, anchor: int, keep_first: bool, g
             out = []
             for row, text, of in zip(*(c.to_pylist() for c in b.columns)):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                out += [(w["a"], w["c"], w["n_contexts"], row, w["low"], w["high"] - w["low"] + 1, raw[w["low"] : w["high"] + length]) for w in of]
+                out += [(w["n_contexts"], w["a"], w["c"], row, w["low"], 0, raw[w["low"] : w["high"] + length]) for w in of]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], ["a", "c", "n_contexts", "row", "low", "width", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], ["n_contexts", "a", "c", "row", "low", "shift", "context"])
 
-    cuts = named(docs, bits).join(F.broadcast(by_row) if small else by_row, "row").select("row", "_text", "wanted").mapInArrow(cut, "a bigint, c bigint, n_contexts bigint, row binary, low int, width int, context binary")
+    cuts = named(docs, bits).join(F.broadcast(by_row) if small else by_row, "row").select("row", "_text", "wanted").mapInArrow(cut, f"n_contexts bigint, {_CONTEXT}")
     cuts = materialise(cuts, "cuts")
-    flagged = small_groups(cuts.filter(F.col("n_contexts") <= group), length, keep_first)
-    large = cuts.filter(F.col("n_contexts") > group)
+    flagged = small_groups(cuts.filter(F.col("n_contexts") <= group), length, anchor, keep_first)
+    large = cuts.filter(F.col("n_contexts") > group).drop("n_contexts")
     if not large.isEmpty():
-        flagged = flagged.unionByName(large_groups(large, length, keep_first))
-    flagged = materialise(flagged, "flagged")
+        flagged = flagged.unionByName(large_groups(large, length, anchor, keep_first, group))
+    flagged = materialise(flagged.groupBy("a", "c").agg(F.flatten(F.collect_list("flags")).alias("flags")), "flagged")  # a few runs for each part of a context
 
     whole = F.array(F.struct(F.lit(0).alias("s"), (F.col("high") - F.col("low") + length).cast("int").alias("e")))
-    marks = contexts.select("a", "c", "n", "first").join(flagged, ["a", "c"], "left").filter("n > 1 or flags is not null").withColumnRenamed("first", "_first")
-    hit = found.join(marks, ["a", "c"])
+    marks = materialise(contexts.select("a", "c", "n", "first").join(flagged, ["a", "c"], "left").filter("n > 1 or flags is not null").withColumnRenamed("first", "_first"), "marks")
+    hit = join_hot(found, marks, ["a", "c"], "n", found.count())
     if keep_first:
         mine = (F.col("_first.row") == F.col("row")) & (F.col("_first.low") == F.col("low"))
         hit = hit.withColumn("of", F.when(mine, F.col("flags")).otherwise(whole)).filter("of is not null")
@@ -304,63 +312,148 @@ def repeated_runs(docs: DataFrame, length: int, anchor: int, keep_first: bool, g
         hit = hit.withColumn("of", F.when(F.col("n") > 1, whole).otherwise(F.col("flags")))
     placed = hit.select("row", F.explode("of").alias("x"), "low").select("row", (F.col("x.s") + F.col("low")).alias("s"), (F.col("x.e") + F.col("low")).alias("e"))
     out = materialise(placed.groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "runs")  # within one text
-    discard(found, contexts, wanted, cuts, flagged)
+    discard(found, contexts, wanted, cuts, flagged, marks)
     return out
 
 
-def small_groups(cuts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """(a, c, flags) by suffix arrays over whole groups, many groups at a time."""
+#: A context, or what is left of it: it starts at ``low`` in its row's text and ``shift`` bytes into the context that (a, c) names.
+_CONTEXT = "a bigint, c bigint, row binary, low int, shift int, context binary"
+_FLAGS = "a bigint, c bigint, flags array<struct<s: int, e: int>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size = 0
 
-        def flush():
-            rows = [r for r in held]
-            earlier, any_ = repeated_starts([r["context"] for r in rows], np.array([r["width"] for r in rows]), [(r["row"], r["low"]) for r in rows], length)
-            flags = [runs(s, length) for s in (earlier if keep_first else any_)]
-            on = [k for k, f in enumerate(flags) if f]
-            return pa.RecordBatch.from_arrays([pa.array([rows[k]["a"] for k in on], pa.int64()), pa.array([rows[k]["c"] for k in on], pa.int64()), pa.array([flags[k] for k in on], _RUNS)], ["a", "c", "flags"])
-
-        for g in groups(batches, 1):
-            rows = g.to_pylist()
-            held += rows
-            size += sum(len(r["context"]) for r in rows)
-            if size >= SORT_BYTES:
-                yield flush()
-                held.clear()
-                size = 0
-        if held:
-            yield flush()
+def anchor_places(data: np.ndarray, offsets: np.ndarray, a: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """How far into each context its anchor stands: the first stretch of all of its first string's with that hash."""
+    rolling, within = Rolling(data), np.arange(length - anchor + 1)
+    out = np.empty(len(a), np.int64)
+    for k in range(0, len(a), 1024):
+        at = offsets[k : min(k + 1024, len(a)), None] + within
+        out[k : k + 1024] = (rolling.of(at.ravel(), at.ravel() + anchor).view(np.int64).reshape(at.shape) == a[k : k + 1024, None]).argmax(axis=1)
+    return out
+
 
-    dealt = cuts.repartition("a").sortWithinPartitions("a").select("a", "c", "row", "low", "width", "context")
-    return dealt.mapInArrow(run, "a bigint, c bigint, flags array<struct<s: int, e: int>>")
+def parts(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, ways: int, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Each of ``ways`` parts of the ranges [lo, hi]: (context, lo, hi, first, last, core, extent) of the contexts that are alive in it.
 
+    Strings start l bytes before the anchor, which stands ``at`` bytes into the context. In [lo, hi] those of
+    the context have l in [first, last].
+    """
+    rolling = Rolling(data)
+    base, smallest = offsets[:-1] + at, at - (np.diff(offsets) - length)
+    for w in range(ways):
+        low, high = lo + (hi - lo + 1) * w // ways, lo + (hi - lo + 1) * (w + 1) // ways - 1
+        first, last = np.maximum(low, smallest), np.minimum(high, at)
+        on = np.flatnonzero(first <= last)
+        low, high, first, last, b = low[on], high[on], first[on], last[on], base[on]
+        with np.errstate(over="ignore"):
+            core = mix(rolling.of(b - low, b + length - high) + mix((low << 32 | high).astype(np.uint64)))
+            extent = mix(rolling.of(b - last, b + length - first) + mix((first << 32 | last).astype(np.uint64)))
+        yield on, low, high, first, last, core, extent
+
+
+def settled(rows: list[dict], length: int, keep_first: bool) -> pa.RecordBatch:
+    """(a, c, flags) of contexts, by longest previous and next factors in one suffix array."""
+    widths = np.array([len(r["context"]) - length + 1 for r in rows])
+    earlier, any_ = repeated_starts([r["context"] for r in rows], widths, [(r["row"], r["low"]) for r in rows], length)
+    flags = [runs(s + r["shift"], length) for r, s in zip(rows, earlier if keep_first else any_)]
+    on = [k for k, f in enumerate(flags) if f]
+    return pa.RecordBatch.from_arrays([pa.array([rows[k]["a"] for k in on], pa.int64()), pa.array([rows[k]["c"] for k in on], pa.int64()), pa.array([flags[k] for k in on], _RUNS)], ["a", "c", "flags"])
+
+
+def promising(rows: list[dict], length: int, anchor: int) -> list[dict]:
+    """Contexts that share the core of a half with another of their group, cut down to the halves that do."""
+    data, offsets = utf8(pa.array([r["context"] for r in rows], pa.binary()))
+    a = np.array([r["a"] for r in rows], np.int64)
+    at = anchor_places(data, offsets, a, length, anchor)
+    n = len(rows)
+    from_, to = np.full(n, length), np.full(n, -1)
+    for on, _, _, first, last, core, _ in parts(data, offsets, at, np.zeros(n, np.int64), np.full(n, length - anchor), 2, length):
+        _, inverse, counts = np.unique(core ^ a[on].view(np.uint64), return_inverse=True, return_counts=True)
+        shared = counts[inverse] > 1
+        k = on[shared]
+        from_[k], to[k] = np.minimum(from_[k], first[shared]), np.maximum(to[k], last[shared])
+    out = []
+    for k in np.flatnonzero(to >= 0).tolist():
+        s = int(at[k] - to[k])
+        out.append(rows[k] | {"low": rows[k]["low"] + s, "shift": rows[k]["shift"] + s, "context": rows[k]["context"][s : int(at[k] + length - from_[k])]})
+    return out
 
-def large_groups(cuts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same for groups of any size: a row for each string, counted by its hash."""
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a, c, row, low, width, context in zip(*(x.to_pylist() for x in b.columns)):
-                at = np.arange(width)
-                h = Rolling(np.frombuffer(context, np.uint8)).of(at, at + length).view(np.int64)
-                n = pa.array(np.zeros(width, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()).take(n), pa.array([c], pa.int64()).take(n), pa.array([row], pa.binary()).take(n), pa.array(at.astype(np.int32)), pa.array((at + low).astype(np.int32)), pa.array(h)], ["a", "c", "row", "at", "place", "h"])
-
-    dealt = cuts.select("a", "c", "row", "low", "width", "context").repartition("c")  # contexts of a group go apart
-    each = dealt.mapInArrow(strings, "a bigint, c bigint, row binary, at int, place int, h bigint")
-    twice = each.groupBy("a", "h").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first")).filter("n > 1")
-    both = each.join(twice, ["a", "h"])
-    if keep_first:
-        both = both.filter((F.col("first.row") != F.col("row")) | (F.col("first.place") != F.col("place")))
-    starts = both.groupBy("a", "c").agg(F.array_sort(F.collect_list("at")).alias("starts"))  # at most a context's width
+def sorted_groups(rows: DataFrame, by: list[str], length: int, anchor: int, keep_first: bool) -> DataFrame:
+    """(a, c, flags) of contexts in groups of bounded size, many groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([runs(np.array(s), length) for s in b.column(2).to_pylist()], _RUNS)], ["a", "c", "flags"])
-
-    return starts.mapInArrow(run, "a bigint, c bigint, flags array<struct<s: int, e: int>>")
+        held: list[dict] = []
+        size = 0
+        for g in groups(batches, len(by)):
+            mine = g.to_pylist()
+            held += mine
+            size += sum(len(r["context"]) for r in mine)
+            if size >= SORT_BYTES:
+                if some := promising(held, length, anchor):
+                    yield settled(some, length, keep_first)
+                held.clear()
+                size = 0
+        if held and (some := promising(held, length, anchor)):
+            yield settled(some, length, keep_first)
+
+    names = [*by, *(n for n in ("a", "c", "row", "low", "shift", "context") if n not in by)]
+    return rows.repartition(*by).sortWithinPartitions(*by).select(*names).mapInArrow(run, _FLAGS)
+
+
+def small_groups(cuts: DataFrame, length: int, anchor: int, keep_first: bool) -> DataFrame:
+    """Flags of anchors with at most ``group`` contexts."""
+    return sorted_groups(cuts.drop("n_contexts"), ["a"], length, anchor, keep_first)
+
+
+def large_groups(cuts: DataFrame, length: int, anchor: int, keep_first: bool, group: int) -> DataFrame:
+    """Flags of anchors with any number of contexts, which are parted until they fit suffix arrays."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "context"):
+            if b.num_rows == 0:
+                continue
+            names = b.schema.names
+            data, offsets = utf8(b.column("context"))
+            a, low, shift, lo, hi = (b.column(n).to_numpy() for n in ("a", "low", "shift", "lo", "hi"))
+            at = anchor_places(data, offsets, a, length, anchor) if "at" not in names else b.column("at").to_numpy().astype(np.int64)
+            raw = data.tobytes()
+            for on, l, h, first, last, core, extent in parts(data, offsets, at, lo.astype(np.int64), hi.astype(np.int64), WAYS, length):
+                start, stop = offsets[on] + at[on] - last, offsets[on] + at[on] + length - first
+                pick = pa.array(on)
+                moved = at[on] - last
+                ints = [pa.array(x.astype(np.int32)) for x in (low[on] + moved, shift[on] + moved)]
+                contexts = pa.array([raw[s:e] for s, e in zip(start.tolist(), stop.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("a").take(pick), b.column("c").take(pick), b.column("row").take(pick), *ints, contexts, pa.array(last.astype(np.int32)), pa.array(l.astype(np.int32)), pa.array(h.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(extent.view(np.int64))],
+                    ["a", "c", "row", "low", "shift", "context", "at", "lo", "hi", "core", "extent"],
+                )
+
+    schema = f"{_CONTEXT}, at int, lo int, hi int, core bigint, extent bigint"
+    live = cuts.select("*", F.lit(0).alias("lo"), F.lit(length - anchor).alias("hi"))
+    flagged: list[DataFrame] = []
+    both = None
+    while both is None or not live.isEmpty():
+        now = materialise(live.mapInArrow(split, schema), "parts")
+        if both is not None:
+            discard(both)
+        x = F.struct("row", "low", "a", "c", "shift", "context", "at", "lo", "hi")
+        classes = materialise(now.groupBy("core", "a", "extent").agg(F.count("*").alias("n"), F.min(x).alias("x")), "classes")
+        # Contexts of one extent share all strings of the part; the first of them stands for all from here on.
+        same = join_hot(now.select("a", "core", "extent", "c", "shift", F.octet_length("context").alias("bytes")), classes.filter("n > 1").select("a", "core", "extent", "n", F.col("x.c").alias("_c")), ["a", "core", "extent"], "n", now.count())
+        if keep_first:
+            same = same.filter("c <> _c")
+        mine = materialise(same.select("a", "c", F.array(F.struct(F.col("shift").alias("s"), (F.col("shift") + F.col("bytes")).cast("int").alias("e"))).alias("flags")), "same")
+        sizes = classes.groupBy("core", "a").agg(F.count("*").alias("size")).filter("size > 1")
+        both = materialise(join_hot(classes.select("core", "a", "x"), sizes, ["core", "a"], "size", classes.count()).select("core", "size", "x.*"), "both")
+        flagged += [mine, materialise(sorted_groups(both.filter(F.col("size") <= group), ["core", "a"], length, anchor, keep_first), "fits")]
+        discard(now, classes)
+        live = both.filter(F.col("size") > group).drop("core", "size")
+    out = flagged[0]
+    for more in flagged[1:]:
+        out = out.unionByName(more)
+    out = materialise(out, "large")
+    discard(both, *flagged)
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
