@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorscape.llm.shared import discard, materialise
+from vectorscape.llm.shared import discard, join_hot, materialise
 
 
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,27 +38,32 @@ def settled(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); the root is the smallest node of its component.
+    """(node, root), written out, for every node of ``edges`` (a, b); the root is the smallest node of its component.
 
     Edges are first contracted within their partitions, which keeps the components and shortens paths. Then it
     alternates the large-star and small-star steps (Kiveris et al. 2014): each edge moves towards the smallest
-    neighbour until all are stars. A node with many edges is met by partial minima and by joins that adaptive
-    execution may split.
+    neighbour until all are stars. A node with many edges is met by partial minima, which are sent to where its
+    edges are.
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().mapInArrow(contracted, "a bigint, b bigint"), "edges")
     for _ in range(rounds):
         if settled(now):
             break
+        total = 2 * now.count()
         both = now.union(now.select("b", "a"))
-        smallest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(smallest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(now.join(smallest.withColumnRenamed("a", "_a"), F.col("b") == F.col("_a")).filter("m < b").select("b", "m")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        smallest = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")), "smallest")
+        large = join_hot(both, smallest, ["a"], "n", total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # An edge's lower end moves as well.
+        large = large.union(join_hot(now.select("b"), smallest.withColumnRenamed("a", "b"), ["b"], "n", total).filter("m < b").select("b", "m")).filter("a <> b").distinct()
+        large = materialise(large, "large")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        small = join_hot(large, least, ["a"], "n", total)
         small = small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").filter("a > b").distinct()
         after = materialise(small, "edges")
-        discard(now)
+        discard(now, smallest, large, least)
         now = after
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())
+    out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct()), "components")
+    discard(now)
+    return out
