@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vectorscape.functions.vectors import clip01, dot
 from vectorscape.operators.vectors import check_vectors
+from vectorscape.storage import written
 
 #: Bytes of vectors that one pass sends to the tasks.
 BLOCK_BYTES = 64 << 20
@@ -23,16 +24,21 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / length
 
 
-def nearest(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, validate: bool = True) -> DataFrame:
+def nearest(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, validate: bool = True, keep: bool = True) -> DataFrame:
     """(src, dst, rank, similarity): for each row of ``queries`` (else of ``df``) its k most similar other rows.
 
     The searched side is sent in blocks of bounded size, a pass over the queries for each; a pass returns k
     candidates a query, of which the k best are kept. Ties go by id; a row is itself by id, not by position.
+    With ``keep`` the vectors are computed once and written out. Queries are dealt to all cores, as the work is
+    in the products.
     """
+    if keep:
+        df = written(df.select(key, vector), "vectors")
     n = check_vectors(df, k if queries is None else None, vector, 1 if queries is not None else 2) if validate else df.count()
     if k < 1:
         raise ValueError("k must be positive")
     q = (df if queries is None else queries).select(F.col(key).alias("src"), F.col(vector).cast("array<double>").alias("v"))
+    q = q.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // 50_000)))
     width = df.select(F.size(vector)).first()[0]
     blocks = max(1, -(-n * (width * 8 + 8) // block_bytes))
     base = df.select(F.col(key).alias("dst"), F.col(vector).cast("array<double>").alias("v"))
