@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -295,23 +295,52 @@ def extract_features(tracks: DataFrame, names: tuple[str, ...] = FEATURES, decod
     return tracks.select(*(("song_id", "samples", "rate") if samples else ("song_id", "content"))).mapInArrow(run, schema)
 
 
-def durations(files: DataFrame, decode: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav) -> DataFrame:
-    """(track_id, duration_s) from (track_id, content); 0 where a file can't be decoded."""
+def header_duration(content: bytes) -> float:
+    """Seconds by the header, without decoding."""
+    with wave.open(io.BytesIO(content)) as w:
+        return w.getnframes() / w.getframerate()
+
+
+def decoded_duration(content: bytes) -> float:
+    """Seconds by the samples that are there, at the rate that the file names."""
+    y, rate = decode_wav(content)
+    return len(y) / rate
+
+
+def durations(files: DataFrame, readers: Sequence[Callable[[bytes], float]] = (header_duration, decoded_duration)) -> DataFrame:
+    """(track_id, duration_s) from (track_id, content): the first reader that gives more than 0; 0 where none does."""
+
+    def seconds(content: bytes) -> float:
+        for read in readers:
+            try:
+                if np.isfinite(x := float(read(content))) and x > 0:
+                    return x
+            except Exception:  # a reader of another format may raise anything; the next one is asked
+                continue
+        return 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for content in b.column(1).to_pylist():
-                try:
-                    y, rate = decode(content)
-                    out.append(len(y) / rate)
-                except (ValueError, EOFError, wave.Error):
-                    out.append(0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["track_id", "duration_s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([seconds(x) for x in b.column(1).to_pylist()], pa.float64())], ["track_id", "duration_s"])
 
     return files.select("track_id", "content").mapInArrow(run, "track_id string, duration_s double")
 
 
+def extract_rhythm(tracks: DataFrame, **how) -> DataFrame:
+    """``extract_features`` of the rhythm columns."""
+    return extract_features(tracks, RHYTHM, **how)
+
+
+def extract_spectral(tracks: DataFrame, **how) -> DataFrame:
+    """``extract_features`` of the spectral columns."""
+    return extract_features(tracks, SPECTRAL, **how)
+
+
+def extract_tonal(tracks: DataFrame, **how) -> DataFrame:
+    """``extract_features`` of the tonal columns."""
+    return extract_features(tracks, TONAL, **how)
+
+
 def synthetic_tracks(spark: SparkSession, tones: dict[str, list[float]], seconds: float = 2.0) -> DataFrame:
     """(song_id, samples, rate) of sums of sines, made in expressions."""
     rows = spark.createDataFrame(list(tones.items()), "song_id string, tones array<double>")

@@ -31,8 +31,22 @@ def retrieve(index: DataFrame, query: Sequence[float], k: int = 10, key: str = "
     return index.select(key, dot(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def with_metadata(results: DataFrame, metadata: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Results with columns of metadata, ``?`` where it has no row; repeated keys in metadata count once, the greatest row."""
-    one = metadata.groupBy(key).agg(F.max(F.struct(*columns)).alias("_m"))
+def with_metadata(results: DataFrame, metadata: DataFrame, key: str, columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """Results with columns of metadata, ``?`` where it has no row. Of rows that repeat a key the last by ``order`` counts, else the greatest."""
+    row = F.struct(*columns)
+    one = metadata.groupBy(key).agg((F.max(F.struct(F.col(order).alias("_at"), row.alias("x")))["x"] if order else F.max(row)).alias("_m"))
     out = results.join(one, key, "left")
     return out.select(*results.columns, *(F.coalesce(F.col(f"_m.{c}").cast("string"), F.lit("?")).alias(c) for c in columns))
+
+
+def align(vectors: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """Metadata of the ids that have a vector; ids are matched as text, and others drop out."""
+    ids = vectors.select(F.col(key).cast("string").alias("_id")).distinct()
+    return metadata.join(ids, F.col(key).cast("string") == F.col("_id")).drop("_id")
+
+
+def place(metadata: DataFrame, key: str, *tables: DataFrame) -> DataFrame:
+    """Metadata with the columns of tables (node, ...), such as communities and coordinates; rows without any keep nulls."""
+    for t in tables:
+        metadata = metadata.join(t.withColumnRenamed("node", key), key, "left")
+    return metadata

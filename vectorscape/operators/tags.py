@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from vectorscape.functions.text import assign_labels, parse_tags, top_weight_tags
 
-#: (tag column, weight column, result column) of the four groups.
+# Fixed values: (tag column, weight column, result column) of the four groups.
 TOP_GROUPS = (
-    ("mood_all", "mood_all_weights", "top_k_mood"),
     ("genre", "genre_weights", "top_k_genre"),
     ("theme", "theme_weights", "top_k_theme"),
+    ("mood_all", "mood_all_weights", "top_k_mood"),
     ("style", "style_weights", "top_k_style"),
 )
 
@@ -36,6 +36,11 @@ def tag_counts(df: DataFrame, tags: str) -> DataFrame:
     return df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def n_tags(df: DataFrame, tags: str) -> DataFrame:
+    """One row: the number of different tags."""
+    return df.select(F.explode(tags).alias("tag")).agg(F.count_distinct("tag").alias("n_tags"))
+
+
 def top_tags(df: DataFrame, tags: str, n: int) -> DataFrame:
     """The n most frequent tags, ties by name, with their percentage of those n."""
     if n < 1:

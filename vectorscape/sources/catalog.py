@@ -7,6 +7,8 @@ wins, missing metadata raises, missing affect rows are skipped and bad cells rai
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from vectorscape.sources.schemas import AV_COLUMNS, METADATA_COLUMNS, SPLIT_COLU
 
 __all__ = ["assign_labels", "complete_rows", "files_below", "filter_tracks", "has_tags_in", "last_wins", "load_catalog", "load_split", "read_csv", "sample_uniform", "tags_of", "to_tracks"]
 
-#: What pandas-like readers take for a missing value.
+# What pandas takes for a missing value.
 NULL_WORDS = ("", "NA", "N/A", "NULL", "null", "NaN", "nan", "None", "n/a", "<NA>", "#N/A", "-nan", "-NaN", "#NA", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN", "#N/A N/A")
 
 
@@ -37,8 +39,8 @@ def complete_rows(df: DataFrame) -> DataFrame:
     return df.filter(keep)
 
 
-def to_tracks(df: DataFrame, audio_root: str, quadrant: str = "quadrant", legacy_nan_strings: bool = False) -> DataFrame:
-    """One select from catalogue columns to track columns."""
+def to_tracks(df: DataFrame, audio_root: str, quadrant: str = "quadrant", legacy_nan_strings: bool = False, also: Sequence[str] = ()) -> DataFrame:
+    """One select from catalogue columns to track columns; ``also`` are kept as they are."""
 
     def name(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit("nan")) if legacy_nan_strings else F.col(c)
@@ -48,7 +50,7 @@ def to_tracks(df: DataFrame, audio_root: str, quadrant: str = "quadrant", legacy
         F.col("song_id").alias("track_id"), F.concat_ws("/", F.lit(audio_root.rstrip("/")), F.col(quadrant), F.concat("song_id", F.lit(".mp3"))).alias("audio_path"),
         F.col(quadrant).alias("quadrant"), parse_float(F.col("duration"), 0.0).alias("duration_s"), name("artist").alias("artist"), name("title").alias("title"),
         "arousal", "valence", parse_tags(F.col("mood_all")).alias("mood_tags"), genres.alias("genre_tags"), consolidate(genres).alias("genre_tags_consolidated"),
-        parse_tags(F.col("theme")).alias("theme_tags"), parse_tags(F.col("style")).alias("style_tags"),
+        parse_tags(F.col("theme")).alias("theme_tags"), parse_tags(F.col("style")).alias("style_tags"), *also,
     )
 
 
@@ -80,7 +82,7 @@ def last_wins(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
 
 
 def load_split(metadata: DataFrame, affect: DataFrame, split: DataFrame, audio_root: str = "audio", files: DataFrame | None = None, durations: DataFrame | None = None, split_name: str = "train") -> DataFrame:
-    """Tracks of a split file. ``durations`` (track_id, duration_s) stand in where metadata has none."""
+    """Tracks of a split file, with their ``position`` in it. ``durations`` (track_id, duration_s) stand in where metadata has none."""
     meta = last_wins(metadata, "song_id").drop("quadrant").withColumn("_known", F.lit(True))
     av = last_wins(affect, "song_id").select("song_id", required(F.col("arousal"), "arousal").cast("double").alias("arousal"), required(F.col("valence"), "valence").cast("double").alias("valence"))
     rows = split.select(required(F.col("song_id"), "split").alias("song_id"), required(F.col("quadrant"), "split").alias("quadrant"), F.monotonically_increasing_id().alias("position"))
@@ -89,7 +91,7 @@ def load_split(metadata: DataFrame, affect: DataFrame, split: DataFrame, audio_r
     df = df.drop("_known").join(av, "song_id")
     duration = optional(F.col("duration")).try_cast("double")
     df = df.withColumns({"artist": F.coalesce(optional(F.col("artist")), F.lit("")), "title": F.coalesce(optional(F.col("title")), F.lit(""))})
-    tracks = to_tracks(df.withColumn("duration", duration.cast("string")), audio_root).withColumn("split", F.lit(split_name))
+    tracks = to_tracks(df.withColumn("duration", duration.cast("string")), audio_root, also=("position",)).withColumn("split", F.lit(split_name))
     if durations is not None:
         other = durations.select("track_id", F.when(F.col("duration_s") > 0, F.col("duration_s")).alias("_d"))
         tracks = tracks.join(other, "track_id", "left").withColumn("duration_s", F.when(F.isnan("duration_s") | (F.col("duration_s") > 0), F.col("duration_s")).otherwise(F.coalesce("_d", F.lit(0.0)))).drop("_d")
@@ -108,11 +110,12 @@ def has_tags_in(groups: list[str]) -> Column:
     return out
 
 
-def sample_uniform(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
-    """Exactly min(n, rows) rows without replacement, the same for a seed: those with the smallest hashes."""
+def sample_uniform(df: DataFrame, n: int, key: str, seed: int = 7, order: str | None = None) -> DataFrame:
+    """Exactly min(n, rows) rows without replacement, the same for a seed: those with the smallest hashes, sorted by ``order`` if given."""
     if n < 1:
         raise ValueError("n must be positive")
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    out = df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return out.orderBy(order) if order else out
 
 
 def filter_tracks(tracks: DataFrame, groups: list[str] = (), sampling: str = "none", sample_size: int | None = None, seed: int = 7) -> DataFrame:
@@ -122,7 +125,7 @@ def filter_tracks(tracks: DataFrame, groups: list[str] = (), sampling: str = "no
     if sampling != "none" and (sample_size is None or sample_size <= 0):
         raise ValueError("sampling needs a positive sample_size")
     out = tracks.filter(has_tags_in(list(groups)))
-    return out if sampling == "none" else sample_uniform(out, sample_size, "track_id", seed)
+    return out if sampling == "none" else sample_uniform(out, sample_size, "track_id", seed, "position" if "position" in out.columns else None)
 
 
 METADATA, AFFECT, SPLIT, GROUPS = METADATA_COLUMNS, AV_COLUMNS, SPLIT_COLUMNS, TAG_GROUPS

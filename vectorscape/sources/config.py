@@ -9,6 +9,7 @@ from typing import Any
 import yaml
 
 
+# The keys of the configuration file and the defaults of its parameters.
 @dataclass(frozen=True)
 class Paths:
     project_root: Path
@@ -89,28 +90,38 @@ def _resolved(value: Any, root: Path, key: str = "") -> Any:
     return root / value if isinstance(value, str) and _is_path(key) else value
 
 
+def _document(path: Path) -> dict:
+    """The mapping that a YAML file holds; whatever is wrong with the file is a ValueError."""
+    with_path = f"{path} doesn't hold a mapping"
+    try:
+        with path.open(encoding="utf-8") as f:
+            found = yaml.safe_load(f)
+    except Exception as e:
+        raise ValueError(f"{with_path}: {e}") from e
+    if isinstance(found, dict):
+        return found
+    raise ValueError(with_path)
+
+
 def load_config(path: str | Path) -> Config:
-    """Paths are relative to the file's folder (the project) or to the project (the rest)."""
+    """Paths are relative to the file's folder (the project) or to the project (the rest). All three sections are required."""
     path = Path(path)
-    try:
-        raw = yaml.safe_load(path.read_text(encoding="utf-8"))
-    except (OSError, yaml.YAMLError) as e:
-        raise ValueError(f"{path} can't be read: {e}") from e
-    if not isinstance(raw, dict):
-        raise ValueError(f"{path} must hold a mapping")
+    raw = _document(path)
     given = _section(raw, "paths", str(path))
     if missing := [k for k in Paths.__dataclass_fields__ if k not in given]:
         raise ValueError(f"paths lack {', '.join(missing)}")
     project = (path.resolve().parent / str(given["project_root"])).resolve()
     paths = Paths(project, *((project / str(given[k])).resolve() for k in ("dataset_root", "models_root", "output_root")))
     models = {}
-    for name, spec in (raw.get("models") or {}).items():
+    for name, spec in _section(raw, "models", str(path)).items():
         if not isinstance(spec, dict) or "provider" not in spec:
             raise ValueError(f"model {name!r} needs a provider")
         models[name] = ModelSpec(name, str(spec["provider"]), spec.get("model_id"), spec.get("device"), spec.get("dtype", "float32"))
     datasets = {}
-    for name, spec in (raw.get("datasets") or {}).items():
-        root = paths.dataset_root / str(_section(raw["datasets"], name, "datasets").get("root", name))
+    for name, spec in _section(raw, "datasets", str(path)).items():
+        if "root" not in _section(raw["datasets"], name, "datasets"):
+            raise ValueError(f"dataset {name!r} needs a root")
+        root = paths.dataset_root / str(spec["root"])
         audio = _section(spec, "audio", name)
         if "dir" not in audio or "path" not in audio:
             raise ValueError(f"audio of {name!r} needs dir and path")

@@ -6,6 +6,7 @@ import json
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,11 @@ def import_npz(spark: SparkSession, path: str) -> DataFrame:
     with np.load(path, allow_pickle=False) as z:
         if missing := {"track_ids", "embeddings"} - set(z.files):
             raise ValueError(f"{path} lacks {', '.join(sorted(missing))}")
-        rows = list(zip(map(str, z["track_ids"]), np.asarray(z["embeddings"], np.float32).tolist()))
-    return spark.createDataFrame(rows, "track_id string, embedding array<float>")
+        ids, x = z["track_ids"].astype(str), np.ascontiguousarray(z["embeddings"], np.float32)
+    if x.ndim != 2 or len(ids) != len(x):
+        raise ValueError(f"{path} has {len(ids)} ids and embeddings of shape {x.shape}")
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+    return spark.createDataFrame(pa.table({"track_id": pa.array(ids), "embedding": vectors}))
 
 
 def save_index(vectors: DataFrame, mean: DataFrame, path: str) -> None:
