@@ -72,7 +72,7 @@ def test_components_and_quality(spark):
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6)], "node long")
     assert {r.node: r.component for r in graph.connected_components(nodes, e).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
     one = spark.createDataFrame([(1, 0)], "node long, community long")
-    assert tuple(graph.graph_quality(edges(spark, []), one).first())[1:] == (0, 0, 0.0, 0, 0.0)
+    assert tuple(graph.graph_quality(edges(spark, []), one).first())[1:] == (0, 0, 0.0, 0, [], 0.0)
 
 
 def test_quality_corners(spark):
@@ -109,3 +109,90 @@ def test_layout_validation(spark):
     for how in ({"metric": "euclidean"}, {"n_neighbors": 5}, {"min_dist": 2.0}):
         with pytest.raises(ValueError):
             layout.umap_layout(df, **({"n_neighbors": 3} | how))
+
+
+def test_affinity_checks(spark):
+    ok = edges(spark, [(1, 2, 1.0), (2, 1, 1.0)])
+    assert graph.validate_affinity(ok) == [] and graph.validate_affinity(edges(spark, [(1, 2, 0.0), (2, 1, 0.0)])) == ["the least weight is 0"]
+    for bad in ([], [(1, 2, float("nan")), (2, 1, 1.0)], [(1, 2, -1.0), (2, 1, -1.0)], [(1, 1, 1.0)], [(1, 2, 1.0)]):
+        with pytest.raises(ValueError):
+            graph.validate_affinity(edges(spark, bad))
+
+
+def test_edge_bound_holds_for_tags(spark, monkeypatch):
+    e = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.8)], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    assert community.cluster_tags(nodes, e, seed=1).count() == 3
+    both = e.union(e.select("dst", "src", "weight"))
+    with pytest.raises(ValueError, match="prune"):
+        community.leiden(nodes.withColumnRenamed("name", "node"), both, validate=False, max_edges=3)
+
+
+def test_layout_checks_and_norms(spark):
+    df = spark.createDataFrame([(i, [float(10**i), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
+    assert layout.validate_layout(df, 2, 0.1, "cosine")[0].startswith("norms differ") and layout.validate_layout(df.filter("vec_id < 3").limit(3), 2, 0.1, "cosine")
+    with pytest.raises(ValueError, match="norm 0"):
+        layout.validate_layout(df.union(spark.createDataFrame([(9, [0.0, 0.0])], df.schema)), 2, 0.1, "cosine")
+
+
+def test_sampled_quality(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    df = spark.createDataFrame([(i, v.tolist(), v[:2].tolist()) for i, v in enumerate(x)], "node long, high array<double>, low array<double>")
+    a, b = (quality.projection_quality(df, 4, subsample_n=n).first() for n in (None, 100))
+    assert tuple(a) == pytest.approx(tuple(b)) and -1 <= a.spearman <= 1
+    assert quality.projection_quality(df, 4, subsample_n=20).first().n == 20
+    drawn = quality.pair_distances(df, "node", "high", "low", 70).collect()
+    assert len(drawn) == 70 and all(r.i != r.j for r in drawn)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 100)
+    with pytest.raises(ValueError, match="subsample_n"):
+        quality.projection_quality(df, 4)
+
+
+def test_average_ranks(spark):
+    r = np.random.default_rng(6)
+    a, b = r.integers(0, 12, 200).astype(float), r.integers(0, 30, 200).astype(float)
+    rank = [[(x > y).sum() + ((x == y).sum() + 1) / 2 for x in c for y in [c]] for c in (a, b)]
+    rank = [np.array([((c < x).sum() + ((c == x).sum() + 1) / 2) for x in c]) for c in (a, b)]
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    got = quality.average_rank(df, "a", "r").collect()
+    assert sorted((x.a, x.r) for x in got) == sorted(zip(a.tolist(), rank[0].tolist()))
+    assert quality.spearman(df, "a", "b").first()[0] == pytest.approx(np.corrcoef(*rank)[0, 1])
+    assert quality.spearman(df.select("a", F.lit(1.0).alias("b")), "a", "b").first()[0] == 0.0
+
+
+def test_moments_and_drawn_pairs(spark):
+    x = np.random.default_rng(7).normal(size=(50, 4))
+    df = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    rows = np.array([r.row for r in sorted(vectors.moments(df).collect(), key=lambda r: r.i)])
+    assert np.allclose(rows[:, :4], x.T @ x) and np.allclose(rows[:, 4], x.sum(0)) and (rows[:, 5] == 50).all()
+    assert sorted((r.k, r.at) for r in vectors.numbered(df, "vec_id").collect()) == [(i * 3, i) for i in range(50)]
+    r = vectors.embedding_sanity(df, key="vec_id", n_pairs=10_000).first()
+    z = x / np.linalg.norm(x, axis=1, keepdims=True)
+    all_ = (z @ z.T)[np.triu_indices(50, 1)]
+    exact = vectors.embedding_sanity(df).first()
+    assert exact.cosine_mean == pytest.approx(all_.mean()) and exact.cosine_std == pytest.approx(all_.std())
+    assert r.cosine_mean == pytest.approx(all_.mean(), abs=0.1) and r.cosine_std == pytest.approx(all_.std(), abs=0.1)
+    one = vectors.embedding_sanity(df.limit(1)).first()
+    assert (one.n, one.cosine_mean, one.cosine_std) == (1, 0.0, 0.0)
+    with pytest.raises(Exception, match="dimension"):
+        vectors.moments(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "embedding array<double>").coalesce(1)).collect()
+
+
+def test_sweeps(spark):
+    rows = [(i, ["a", "b"] if i % 2 else ["c", "d"]) for i in range(20)] + [(90 + i, ["a", "d"]) for i in range(2)] + [(99, ["e"])] * 6
+    df = spark.createDataFrame(rows, "id long, tags array<string>")
+    got = {r.min_cooccurrence: r for r in community.sweep_clusters(df, "tags", (2, 5)).collect()}
+    for r in got.values():
+        assert r.n_nodes == 5 and sum(r.top_sizes) == r.n_nodes and r.largest == r.top_sizes[0] and r.top_sizes == sorted(r.top_sizes, reverse=True) and len(r.top_sizes) == r.n_clusters
+    assert got[5].n_edges == 2 and got[5].n_clusters == 3 and got[5].modularity == pytest.approx(0.5)
+    s = spark.createDataFrame([(5, 0.1, 0.5), (5, 0.2, 0.9), (9, 0.1, 0.9), (9, 0.2, None)], "n_neighbors long, min_dist double, trustworthiness double")
+    assert {r.min_dist: (r["5"], r["9"]) for r in layout.sweep_pivot(s).collect()} == {0.1: (0.5, 0.9), 0.2: (0.9, None)}
+    assert tuple(layout.best_setting(s).first()) == (5, 0.2, 0.9)
+
+
+def test_metadata_of_results(spark):
+    found = spark.createDataFrame([("a", 1.0), ("z", 0.5)], "id string, score double")
+    meta = spark.createDataFrame([("a", "first", 1), ("a", "second", 2), ("b", "x", 1)], "id string, title string, at int")
+    assert {r.id: r.title for r in retrieval.with_metadata(found, meta, "id", ["title"], "at").collect()} == {"a": "second", "z": "?"}
+    assert {r.id for r in retrieval.align(found, meta, "id").collect()} == {"a"}
+    assert {r.c for r in retrieval.place(meta.select("id").distinct(), "id", spark.createDataFrame([("a", 7)], "node string, c int")).collect()} == {7, None}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectorscape.operators import audio
+from vectorscape.operators import audio, embedding
 from vectorscape.sources import catalog, config
 from vectorscape.sources import io as sinks
 from vectorscape.sources.schemas import AV_COLUMNS, METADATA_COLUMNS
@@ -46,7 +46,9 @@ def test_missing_columns_raise(spark, tmp_path):
 def test_sampling(spark):
     df = spark.range(50).withColumnRenamed("id", "track_id")
     a, b = ([r.track_id for r in catalog.sample_uniform(df, 10, "track_id").collect()] for _ in range(2))
-    assert a == b and len(set(a)) == 10
+    assert a == b and len(set(a)) == 10 and set(a) <= set(range(50))
+    assert [r.track_id for r in catalog.sample_uniform(df, 10, "track_id", order="track_id").collect()] == sorted(a)
+    assert {r.track_id for r in catalog.sample_uniform(df, 10, "track_id", seed=8).collect()} != set(a) and catalog.sample_uniform(df, 99, "track_id").count() == 50
     with pytest.raises(ValueError):
         catalog.filter_tracks(df, [], "uniform")
 
@@ -63,6 +65,14 @@ def test_config(tmp_path):
     assert config.split_file(d.metadata, "val") == tmp_path / "data/r/v.csv"
     with pytest.raises(ValueError):
         config.split_file(d.metadata, "test")
+    head = "paths: {project_root: .., dataset_root: data, models_root: m, output_root: o}\n"
+    audio_part = "audio: {dir: a, path: '.*'}"
+    for bad in (head + "models: {}", head + "datasets: {}", head + "models: {}\ndatasets: {d: {" + audio_part + "}}", "- a list", "{"):
+        p.write_text(bad)
+        with pytest.raises(ValueError):
+            config.load_config(p)
+    p.write_text(head + "models: {}\ndatasets: {d: {root: r, " + audio_part + "}}")
+    assert config.load_config(p).datasets["d"].root == tmp_path / "data/r"
     p.write_text("models: {}")
     with pytest.raises(ValueError):
         config.load_config(p)
@@ -100,3 +110,31 @@ def test_audio(spark):
         audio.extract_features(spark.createDataFrame([rows[0]] * 2, "song_id string, content binary"))
     d = audio.durations(spark.createDataFrame([*rows, ("bad", bytearray(b"x"))], "track_id string, content binary"))
     assert {r.track_id: round(r.duration_s, 3) for r in d.collect()} == {"a": 1.0, "silent": 1.0, "bad": 0.0}
+    slow = audio.durations(spark.createDataFrame(rows, "track_id string, content binary"), (lambda content: float("nan"), lambda content: -1.0, audio.decoded_duration))
+    assert {round(r.duration_s, 3) for r in slow.collect()} == {1.0}
+    assert audio.extract_tonal(spark.createDataFrame(rows[:1], "song_id string, content binary")).columns == ["song_id", *audio.TONAL]
+
+
+def test_embedding_extraction(spark, tmp_path):
+    t = np.arange(4000) / 8000
+    for name, level in (("one", 0.5), ("two", 0.25)):
+        (tmp_path / f"{name}.wav").write_bytes(wav(level * np.sin(2 * np.pi * 100 * t), 8000))
+    files = embedding.audio_files(spark, [str(tmp_path / "one.wav"), str(tmp_path / "two.wav")])
+    got = {r.track_id: r.embedding for r in embedding.extract_audio(files, lambda: embedding.SignalShape(8000), batch_size=1).collect()}
+    assert got.keys() == {"one", "two"} and got["one"][0] == pytest.approx(0.5 / 2**0.5, abs=1e-3) and got["two"][2] == pytest.approx(0.25, abs=1e-2)
+    assert embedding.embed_query_audio(lambda: embedding.SignalShape(8000), (tmp_path / "one.wav").read_bytes()) == pytest.approx(got["one"])
+    named = embedding.audio_files(spark, [str(tmp_path / "one.wav")], ["first"])
+    assert [r.track_id for r in named.collect()] == ["first"]
+    with pytest.raises(ValueError):
+        embedding.audio_files(spark, ["a", "b"], ["first"])
+    with pytest.raises(ValueError, match="repeated"):
+        embedding.extract_audio(files.union(files), embedding.SignalShape)
+    with pytest.raises(Exception, match="can't be read"):
+        embedding.extract_audio(spark.createDataFrame([("x", bytearray(b"no"))], "track_id string, content binary"), embedding.SignalShape).collect()
+    docs = spark.createDataFrame([(1, "aa e"), (2, None)], "doc_id long, text string")
+    vectors = {r.doc_id: r.embedding for r in embedding.extract_text(docs, embedding.LetterShares).collect()}
+    assert vectors[1] == embedding.embed_query_text(embedding.LetterShares, "aa e") == [0.5, 0.25, 0.0, 0.0, 0.0, 0.25] and vectors[2] == [0.0] * 6
+    spec = config.ModelSpec("m", "shape", dtype="int7")
+    assert embedding.provider_for(spec, {"shape": lambda spec, dtype: (spec.name, dtype)})() == ("m", np.float32)
+    with pytest.raises(ValueError, match="unknown provider"):
+        embedding.provider_for(spec, {})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vectorscape.functions import text as T
 from vectorscape.functions.tonal import MAJOR, MINOR, encode_key, entropy_bits, scale_alignment
 from vectorscape.functions.vectors import describe
-from vectorscape.operators import audio, community, graph, knn, layout, quality, retrieval, tags, vectors
+from vectorscape.operators import audio, community, embedding, graph, knn, layout, quality, retrieval, tags, vectors
 from vectorscape.plans import tables as t
 from vectorscape.sources import catalog
 
@@ -62,7 +62,7 @@ def catalog_semi_join(spark, sf):
 
 @query("SELECT doc_id, coalesce(CAST(quality AS VARCHAR), '?') AS quality FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)")
 def catalog_left_default(spark, sf):
-    return retrieval.with_metadata(t.table(spark, sf, "documents").select("doc_id"), t.table(spark, sf, "labels"), "doc_id", ["quality"])
+    return retrieval.with_metadata(t.table(spark, sf, "documents").select("doc_id"), t.table(spark, sf, "labels"), "doc_id", ["quality"], order="quality")
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
@@ -159,19 +159,25 @@ def threshold_graph(spark, sf):
     return r6(tags.threshold_graph(tags.npmi_table(t.tag_rows(spark, sf), "tags"), 0.02), "weight")
 
 
-_MATRIX = ("black", "blue", "green", "red")
+_TOP = 30
 
 
-@query(f"""WITH {t.TAG_ROWS}, a AS (SELECT DISTINCT tag, dense_rank() OVER (ORDER BY tag) AS k FROM c),
+@query(f"""WITH {t.TAG_ROWS}, a AS (SELECT tag, row_number() OVER (ORDER BY n DESC, tag) AS k FROM c),
 cell AS (SELECT tag_a AS x, tag_b AS y, n_both AS n FROM p UNION ALL SELECT tag_b, tag_a, n_both FROM p UNION ALL SELECT tag, tag, n FROM c),
-f AS (SELECT x.k AS i, y.k AS j, n FROM cell JOIN a x ON x.tag = cell.x JOIN a y ON y.tag = cell.y WHERE x.k <= 4 AND y.k <= 4)
-SELECT i AS row, CAST(coalesce(sum(n) FILTER (j = 1), 0) AS BIGINT) AS c1, CAST(coalesce(sum(n) FILTER (j = 2), 0) AS BIGINT) AS c2, CAST(coalesce(sum(n) FILTER (j = 3), 0) AS BIGINT) AS c3, CAST(coalesce(sum(n) FILTER (j = 4), 0) AS BIGINT) AS c4 FROM f GROUP BY i""")
+f AS (SELECT x.k AS i, y.k AS j, n FROM cell JOIN a x ON x.tag = cell.x JOIN a y ON y.tag = cell.y WHERE x.k <= {_TOP} AND y.k <= {_TOP})
+SELECT i AS row, {", ".join(f"CAST(coalesce(sum(n) FILTER (j = {k}), 0) AS BIGINT) AS c{k}" for k in range(1, _TOP + 1))} FROM f GROUP BY i""")
 def cooccurrence_matrix(spark, sf):
     rows = t.tag_rows(spark, sf)
-    names = [r.tag for r in tags.tag_counts(rows, "tags").orderBy("tag").limit(4).collect()]
+    names = [r.tag for r in tags.top_tags(rows, "tags", _TOP).orderBy(F.desc("n"), "tag").collect()]
     m = tags.cooccurrence_matrix(rows, "tags", names)
     index = F.array_position(F.array(*map(F.lit, names)), F.col("tag"))
-    return m.select(index.cast("long").alias("row"), *(F.col(f"`{n}`").alias(f"c{i + 1}") for i, n in enumerate(names)))
+    cells = [F.col(f"`{names[i]}`") if i < len(names) else F.lit(0).cast("long") for i in range(_TOP)]
+    return m.select(index.cast("long").alias("row"), *(c.alias(f"c{i + 1}") for i, c in enumerate(cells)))
+
+
+@query(f"WITH {t.TAG_ROWS} SELECT count(*) AS n_tags FROM c")
+def n_tags(spark, sf):
+    return tags.n_tags(t.tag_rows(spark, sf), "tags")
 
 
 _PRUNED = """v AS (SELECT src AS v, * FROM g UNION ALL SELECT dst, * FROM g),
@@ -211,10 +217,30 @@ def label_counts(spark, sf):
 @query(f"""WITH {t.TAG_ROWS}, h AS (SELECT unnest([2, 30, 50, 70]) AS min_cooccurrence),
 x AS (SELECT h.min_cooccurrence, npmi.* FROM npmi, h WHERE npmi > 0 AND n_both >= h.min_cooccurrence)
 SELECT min_cooccurrence, count(*) AS n_edges, round(avg(npmi), 6) AS mean_weight, (SELECT count(DISTINCT tag) FROM (SELECT tag_a AS tag, min_cooccurrence AS m FROM x UNION ALL SELECT tag_b, min_cooccurrence FROM x) WHERE m = x.min_cooccurrence) AS n_nodes FROM x GROUP BY min_cooccurrence""")
-def sweep_pivot(spark, sf):
+def sweep_cooccurrence(spark, sf):
     return r6(tags.sweep_cooccurrence(t.tag_rows(spark, sf), "tags", (2, 30, 50, 70)), "mean_weight")
 
 
+_SWEEP = "w AS (SELECT l_linenumber AS n_neighbors, CAST(l_quantity AS BIGINT) % 4 AS min_dist, avg(l_quantity * (1 + l_linenumber)) AS trustworthiness FROM lineitem GROUP BY ALL)"
+
+
+def sweep(spark, sf):
+    """Line items in the place of a sweep over two settings."""
+    rows = t.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("n_neighbors"), (F.col("l_quantity").cast("long") % 4).alias("min_dist"), (F.col("l_quantity") * (1 + F.col("l_linenumber"))).cast("double").alias("v"))
+    return rows.groupBy("n_neighbors", "min_dist").agg(F.avg("v").alias("trustworthiness"))
+
+
+@query(f"WITH {_SWEEP} SELECT min_dist, {', '.join(f'round(max(trustworthiness) FILTER (n_neighbors = {k}), 6) AS k{k}' for k in range(1, 8))} FROM w GROUP BY min_dist")
+def sweep_pivot(spark, sf):
+    m = layout.sweep_pivot(sweep(spark, sf))
+    return m.select("min_dist", *((F.round(F.col(str(k)), 6) if str(k) in m.columns else F.lit(None).cast("double")).alias(f"k{k}") for k in range(1, 8)))
+
+
+@query(f"WITH {_SWEEP} SELECT n_neighbors, min_dist, round(trustworthiness, 6) AS trustworthiness FROM w ORDER BY trustworthiness DESC, n_neighbors, min_dist LIMIT 1")
+def sweep_best(spark, sf):
+    return r6(layout.best_setting(sweep(spark, sf)), "trustworthiness")
+
+
 # Vectors and graphs
 
 
@@ -239,11 +265,29 @@ def center_normalize(spark, sf):
 
 @query("""WITH z AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS z FROM z),
 p AS (SELECT list_dot_product(a.z, b.z) AS c FROM u a JOIN u b ON a.vec_id <> b.vec_id)
-SELECT (SELECT count(*) FROM z) AS n, (SELECT max(len(v)) FROM z) AS d, false AS has_nan, false AS has_inf, false AS has_zero_norm, round(avg(c), 6) AS cosine_mean, round(stddev_pop(c), 6) AS cosine_std FROM p""")
+SELECT (SELECT count(*) FROM z) AS n, (SELECT max(len(v)) FROM z) AS d, (SELECT bool_or(len(list_filter(v, lambda x: isnan(x))) > 0) FROM z) AS has_nan, (SELECT bool_or(len(list_filter(v, lambda x: isinf(x))) > 0) FROM z) AS has_inf,
+  (SELECT bool_or(sqrt(list_dot_product(v, v)) <= 1e-12) FROM z) AS has_zero_norm, round(avg(c), 6) AS cosine_mean, round(stddev_pop(c), 6) AS cosine_std FROM p""")
 def embedding_sanity(spark, sf):
     return r6(vectors.embedding_sanity(t.table(spark, sf, "embeddings")).withColumn("d", F.col("d").cast("long")), "cosine_mean", "cosine_std")
 
 
+_ODD = "CASE vec_id % 100 WHEN 1 THEN list_transform(embedding, lambda x: CAST(0 AS FLOAT)) WHEN 2 THEN list_transform(embedding, lambda x: CAST('nan' AS FLOAT)) WHEN 3 THEN list_transform(embedding, lambda x: CAST('-inf' AS FLOAT)) ELSE embedding END"
+
+
+@query(f"""WITH z AS (SELECT vec_id, label, CAST({_ODD} AS DOUBLE[]) AS v FROM embeddings)
+SELECT label, count(*) AS n, max(len(v)) AS d, bool_or(len(list_filter(v, lambda x: isnan(x))) > 0) AS has_nan, bool_or(len(list_filter(v, lambda x: isinf(x))) > 0) AS has_inf, bool_or(sqrt(list_dot_product(v, v)) <= 1e-12) AS has_zero_norm FROM z GROUP BY label""")
+def embedding_flags(spark, sf):
+    """The flags of each label, over vectors some of which are zero, not numbers or infinite."""
+    v, i = F.col("embedding"), F.col("vec_id") % 100
+    fill = F.when(i == 1, 0.0).when(i == 2, float("nan")).when(i == 3, float("-inf")).cast("float")
+    df = t.table(spark, sf, "embeddings").withColumn("embedding", F.when(i.isin(1, 2, 3), F.transform(v, lambda x: fill)).otherwise(v))
+    out = None
+    for label in sorted(r.label for r in df.select("label").distinct().collect()):  # a few labels
+        row = vectors.embedding_flags(df.filter(F.col("label") == label)).select(F.lit(label).alias("label"), "n", F.col("d").cast("long").alias("d"), "has_nan", "has_inf", "has_zero_norm")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(f"WITH {t.knn_sql(K)} SELECT src, dst, rank, round(similarity, 6) AS similarity FROM knn")
 def knn_directed(spark, sf):
     return r6(neighbours(spark, sf), "similarity")
@@ -273,12 +317,44 @@ q AS (SELECT round(sum(inside / w - (k / w) * (k / w)), 6) AS modularity FROM by
 _COMPONENTS = "r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT sym.dst, r.root FROM r JOIN sym ON sym.src = r.id), comp AS (SELECT id AS node, min(root) AS component FROM r GROUP BY id)"
 
 
-@query(f"""WITH {t.knn_sql(K)}, {_MODULARITY}
-SELECT (SELECT count(*) FROM embeddings) AS n_nodes, (SELECT count(*) // 2 FROM sym) AS n_edges, CAST(1 AS BIGINT) AS n_components, modularity, (SELECT count(DISTINCT label) FROM embeddings) AS n_communities,
+@query(f"""WITH RECURSIVE {t.knn_sql(K)}, {_MODULARITY}, {_COMPONENTS}
+SELECT (SELECT count(*) FROM embeddings) AS n_nodes, (SELECT count(*) // 2 FROM sym) AS n_edges, (SELECT count(DISTINCT component) FROM comp) AS n_components, modularity, (SELECT count(DISTINCT label) FROM embeddings) AS n_communities,
+(SELECT string_agg(n, ',' ORDER BY label) FROM (SELECT label, CAST(count(*) AS VARCHAR) AS n FROM embeddings GROUP BY label)) AS community_sizes,
 round((SELECT count(*) FROM sym) / (SELECT count(*) FROM embeddings), 6) AS mean_degree FROM q""")
 def graph_quality(spark, sf):
     edges = knn.directed_affinity(neighbours(spark, sf))
-    return r6(graph.graph_quality(edges, membership(spark, sf)), "modularity", "mean_degree")
+    row = graph.graph_quality(edges, membership(spark, sf)).withColumn("community_sizes", F.array_join("community_sizes", ","))
+    return r6(row, "modularity", "mean_degree")
+
+
+@query(f"""WITH {t.knn_sql(K)}, {_MODULARITY}, sizes AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT CAST(sum(n) AS BIGINT) AS n_nodes, count(*) AS n_communities, min(n) AS size_min, max(n) AS size_max, round(avg(n), 6) AS size_mean, round(median(n), 6) AS size_median, (SELECT modularity FROM q) AS modularity FROM sizes""")
+def community_diagnostics(spark, sf):
+    edges = knn.symmetrize(knn.directed_affinity(neighbours(spark, sf)))
+    return r6(community.leiden_diagnostics(edges, membership(spark, sf)), "size_mean", "size_median", "modularity")
+
+
+_LOOPS = "SELECT l_linenumber AS src, l_suppkey % 8 AS dst, avg(l_quantity) - 25 AS weight FROM lineitem GROUP BY ALL"
+
+
+@query(f"SELECT round(sum(abs(weight)), 6) AS diagonal_abs_sum FROM ({_LOOPS}) WHERE src = dst")
+def diagonal_sum(spark, sf):
+    e = t.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("src"), (F.col("l_suppkey") % 8).alias("dst")).agg((F.avg(F.col("l_quantity").cast("double")) - 25).alias("weight"))
+    return r6(knn.diagonal_abs_sum(e), "diagonal_abs_sum")
+
+
+@query(f"WITH {t.TAG_ROWS}, h AS (SELECT tag FROM c WHERE length(tag) % 2 = 0) SELECT src, dst, round(weight, 6) AS weight FROM g WHERE src IN (FROM h) AND dst IN (FROM h)")
+def induced_subgraph(spark, sf):
+    nodes, edges = tags.tag_graph(t.tag_rows(spark, sf), "tags")
+    names = tags.tag_counts(t.tag_rows(spark, sf), "tags").filter(F.length("tag") % 2 == 0).select(F.col("tag").alias("node"))
+    return r6(graph.induced(edges, names), "weight")
+
+
+@query(f"WITH {t.knn_sql(K)} SELECT count(*) AS n, count(*) AS n_valid, min(len(v)) AS dim FROM e WHERE len(list_filter(v, lambda x: NOT isfinite(x))) = 0")
+def vector_check(spark, sf):
+    df = centred(spark, sf)
+    n = vectors.check_vectors(df, K)
+    return df.agg(F.lit(n).cast("long").alias("n"), F.count("*").alias("n_valid"), F.min(F.size("embedding")).cast("long").alias("dim"))
 
 
 @query(f"WITH {t.knn_sql(K)}, {_MODULARITY} SELECT modularity FROM q")
@@ -385,6 +461,18 @@ def self_retrieval(spark, sf):
     return best.agg(F.count("*").alias("n"), F.sum(((F.col("dst") == -1 - F.col("src")) & (F.abs(F.col("similarity") - 1) < 1e-6)).cast("long")).alias("n_self"))
 
 
+@query("SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, lang FROM documents d WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+def aligned_metadata(spark, sf):
+    meta = t.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("vec_id"), "lang")
+    return retrieval.align(t.table(spark, sf, "embeddings"), meta, "vec_id").withColumnRenamed("vec_id", "doc_id")
+
+
+@query("""SELECT d.doc_id, lang, label AS community, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y FROM documents d LEFT JOIN embeddings ON vec_id = doc_id""")
+def communities_on_metadata(spark, sf):
+    where = projected(spark, sf).select("node", F.get("low", 0).alias("x"), F.get("low", 1).alias("y"))
+    return r6(retrieval.place(t.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", membership(spark, sf), where), "x", "y")
+
+
 def projected(spark, sf):
     return t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("high"), F.slice("embedding", 1, 2).alias("low"))
 
@@ -397,13 +485,23 @@ p AS (SELECT a.vec_id AS i, b.vec_id AS j, 1 - list_dot_product(a.v, b.v) / sqrt
 x AS (SELECT sum(CASE WHEN rl <= 15 AND rh > 15 THEN rh - 15 ELSE 0 END) AS t, sum(CASE WHEN rh <= 15 AND rl > 15 THEN rl - 15 ELSE 0 END) AS c FROM r)
 SELECT n, CAST(15 AS BIGINT) AS k, round(1 - 2e0 * t / (n * 15 * (2 * n - 46)), 6) AS trustworthiness, round(1 - 2e0 * c / (n * 15 * (2 * n - 46)), 6) AS continuity FROM x, n""")
 def projection_quality(spark, sf):
-    return r6(quality.projection_quality(projected(spark, sf)).drop("spearman"), "trustworthiness", "continuity")
+    return r6(quality.trustworthiness_continuity(projected(spark, sf), subsample_n=None), "trustworthiness", "continuity")
 
 
 @query(f"""WITH {_PAIRS}, r AS (SELECT rank() OVER (ORDER BY high) + (count(*) OVER (PARTITION BY high) - 1) / 2e0 AS a, rank() OVER (ORDER BY low) + (count(*) OVER (PARTITION BY low) - 1) / 2e0 AS b FROM p WHERE i < j)
 SELECT round(corr(a, b), 6) AS spearman FROM r""")
 def shepard(spark, sf):
-    return r6(quality.spearman(quality.pair_distances(projected(spark, sf), "node", "high", "low").filter("i < j"), "high", "low"), "spearman")
+    return r6(quality.shepard(projected(spark, sf), n_pairs=None), "spearman")
+
+
+@query(f"""WITH {_PAIRS}, r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY high, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY low, j) AS rl
+  FROM (SELECT a.vec_id AS i, b.vec_id AS j, -list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS high,
+    -list_dot_product(a.v[1:8], b.v[1:8]) / sqrt(list_dot_product(a.v[1:8], a.v[1:8]) * list_dot_product(b.v[1:8], b.v[1:8])) AS low FROM e a JOIN e b ON a.vec_id <> b.vec_id))
+SELECT i AS src, j AS dst FROM r WHERE rl <= 15 AND rh > 15""")
+def neighbours_lost(spark, sf):
+    """Neighbours by the first eight dimensions that aren't neighbours by all."""
+    df = t.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("high"), F.slice("embedding", 1, 8).alias("low"))
+    return quality.neighbour_overlap(df, K, "vec_id", "high", "low")
 
 
 @query("""WITH l AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)
@@ -429,6 +527,23 @@ def key_encoding(spark, sf):
     return r6(k.select("vec_id", encode_key(F.col("key"), F.col("scale")).alias("x")).select("vec_id", "x.*"), "key_cos", "key_sin")
 
 
+@query("""WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, """ + ", ".join(f"round(CAST((length(t) - length(replace(t, '{c}', ''))) / greatest(length(t), 1) AS FLOAT), 5) AS {n}" for n, c in zip(("a", "e", "i", "o", "u", "blank"), "aeiou ")) + " FROM x")
+def text_embeddings(spark, sf):
+    made = embedding.extract_text(t.table(spark, sf, "documents"), embedding.LetterShares, batch_size=64)
+    return made.select("doc_id", *(F.round(F.get("embedding", k), 5).alias(n) for k, n in enumerate(("a", "e", "i", "o", "u", "blank"))))
+
+
+@query("""WITH f(track_id, tones) AS (VALUES ('a3', [220e0]), ('a4', [440e0]), ('mixed', [220e0, 440e0, 880e0])),
+y AS (SELECT track_id, CAST(list_avg(list_transform(tones, lambda h: sin(2 * pi() * h * i / 44100e0))) AS FLOAT) AS y FROM f, range(0, 88200) AS r(i))
+SELECT track_id, round(sqrt(avg(CAST(y AS DOUBLE) * y)), 4) AS rms, round(abs(avg(y)), 4) AS mean, round(max(abs(CAST(y AS DOUBLE))), 4) AS peak, round(avg(abs(y)), 4) AS level FROM y GROUP BY track_id""")
+def audio_embeddings(spark, sf):
+    tracks = audio.synthetic_tracks(spark, {"a3": [220.0], "a4": [440.0], "mixed": [220.0, 440.0, 880.0]}).withColumnRenamed("song_id", "track_id")
+    made = embedding.extract_audio(tracks, embedding.SignalShape)
+    names = ("rms", "mean", "peak", "level")
+    return made.select("track_id", *(F.round(F.abs(F.get("embedding", k).cast("double")), 4).alias(n) for k, n in enumerate(names)))
+
+
 # Seeded and numeric operators without SQL
 
 
@@ -445,6 +560,17 @@ def tag_clusters_merged(spark, sf):
     return community.merge_cluster_table(pruned, community.cluster_tags(nodes, pruned, seed=42), target_k=3)
 
 
+@query()
+def sweep_clusters(spark, sf):
+    swept = community.sweep_clusters(t.tag_rows(spark, sf), "tags", (2, 30, 50, 70), 3)
+    return swept.withColumn("top_sizes", F.array_join("top_sizes", ","))
+
+
+@query()
+def layout_sweep(spark, sf):
+    return layout.sweep_layout(t.table(spark, sf, "embeddings"), (10, 15), (0.1, 0.5))
+
+
 @query()
 def umap_layout(spark, sf):
     return layout.umap_layout(t.table(spark, sf, "embeddings").select("vec_id", "embedding"))
