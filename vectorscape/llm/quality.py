@@ -2,7 +2,8 @@
 
 Each text is judged by rules of its own. Failures are then summed by host; as small
 hosts have wild rates, a rate is shrunk by a beta prior fitted to all hosts' rates by
-their moments, and a host whose shrunk rate exceeds ``reject_at`` is rejected. Verdicts
+their moments without what sampling adds to their spread, and a host whose shrunk rate
+exceeds ``reject_at`` is rejected. Verdicts
 are joined back to the documents. Sums by host are combined before the shuffle, and
 the join is left to adaptive execution, which broadcasts verdicts only when they turn
 out to be small and splits hot hosts otherwise.
@@ -29,6 +30,8 @@ WORD, SYMBOL, WINDOW = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]", 5
 MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTH = 0.5, 0.3, (2.0, 20.0)
 #: A host is rejected if this share of its documents fails, after shrinking.
 REJECT_AT = 0.6
+#: The prior counts as so many documents at least.
+LEAST_WEIGHT = 4.0
 
 
 def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -78,15 +81,21 @@ def any_failed() -> Column:
 def host_verdicts(judged: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
     """(host, n_docs, n_failed, shrunk_rate, rejected) from documents (host, failed).
 
-    The prior has the mean m and variance v of the hosts' rates: a + b = m (1 - m) / v - 1, held within 1 to
-    1000; without spread, or with one host, it weighs 1000 documents.
+    The prior has the mean m of all documents. Its weight a + b is 1 / r - 1, where r is the correlation of two
+    documents of a host, so that sampling noise of small hosts is no spread (analysis of variance): with S = sum of
+    n (rate - m)^2 over H hosts and N documents, r = (S / (m (1 - m)) - (H - 1)) / (N - sum n^2 / N - (H - 1)).
+    It is held within LEAST_WEIGHT and 1000; without spread, or with one host, it is 1000. With four documents at
+    least, one failing document rejects no host while half of all documents or fewer fail.
     """
     hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("m"), F.var_pop(rate).alias("v"))
-    m, v = F.col("m"), F.col("v")
-    weight = F.when(v > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(1000.0)
-    prior = prior.select("m", weight.alias("weight"))  # one row
+    n, k = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    sums = hosts.agg(F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(k * k / n).alias("s"), F.sum(n * n).alias("nn"), (F.count("*") - 1).cast("double").alias("h"))
+    m = F.col("k") / F.col("n")
+    spread = F.col("s") - F.col("k") * m
+    free = F.col("n") - F.col("nn") / F.col("n") - F.col("h")
+    r = F.try_divide(spread - F.col("h") * m * (1 - m), m * (1 - m) * free)
+    weight = F.when((r > 0) & (free > 0), F.least(F.lit(1000.0), F.greatest(F.lit(LEAST_WEIGHT), F.try_divide(F.lit(1.0), r) - 1))).otherwise(1000.0)
+    prior = sums.select(m.alias("m"), weight.alias("weight"))  # one row
     shrunk = (F.col("n_failed") + F.col("m") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
     return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > reject_at).alias("rejected"))
 
@@ -119,8 +128,11 @@ j AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
 f AS (SELECT *, base_failed OR n_symbols > {MAX_SYMBOLS}e0 * n_words OR n_dup_lines > {MAX_DUP_LINES}e0 * n_lines
   OR NOT (word_chars / greatest(n_words, 1) BETWEEN {WORD_LENGTH[0]}e0 AND {WORD_LENGTH[1]}e0) AS failed FROM j),
 h AS (SELECT source, count(*) AS n, sum(CAST(failed AS INT)) AS k FROM f GROUP BY source),
-p AS (SELECT m, CASE WHEN v > 0 THEN least(1000e0, greatest(1e0, m * (1 - m) / v - 1)) ELSE 1000e0 END AS s
-  FROM (SELECT sum(k) / sum(n) AS m, var_pop(k / n) AS v FROM h)),
+q AS (SELECT sum(n) AS n, sum(k) / sum(n) AS m, sum(k * k / n) AS s, sum(n * n) AS nn, count(*) - 1 AS h
+  FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k FROM h)),
+v AS (SELECT m, CASE WHEN m > 0 AND m < 1 AND n - nn / n - h > 0
+  THEN (s - m * m * n - h * m * (1 - m)) / (m * (1 - m) * (n - nn / n - h)) ELSE 0 END AS r FROM q),
+p AS (SELECT m, CASE WHEN r > 0 THEN least(1000e0, greatest({LEAST_WEIGHT}e0, 1 / r - 1)) ELSE 1000e0 END AS s FROM v),
 r AS (SELECT source, (k + m * s) / (n + s) > {REJECT_AT}e0 AS rejected FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
