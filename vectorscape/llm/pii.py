@@ -10,10 +10,11 @@ whole corpus and n(e, t) those in reach of entity e, the term reveals e to the d
 ``prior`` shrinks p(e|t): it stands for occurrences elsewhere that the corpus doesn't
 show. A term that is seen only beside e nears degree 1 as it is seen more often, and one
 sight is evidence where e is rare enough: with a prior of 1 it has p = 1/2, which is
-degree 0.9 from IC(e) = 10 on. Both counts take each different context of an entity
-once, so copies change nothing in p(e|t). An occurrence in reach of several mentions of an
-entity is one. Terms from ``generalise_at`` on are generalised in reach of their entity, terms from
-``remove_at`` on removed. All counts cover the whole corpus.
+degree 0.9 from IC(e) = 10 on. All counts take each different text once, and both counts of
+a term each different context of an entity once, so copies change nothing. An occurrence in
+reach of several mentions of an entity is one. Terms from ``generalise_at`` on are generalised in reach of their entity, terms from
+``remove_at`` on removed. All counts cover the whole corpus. Terms are counted in a second scan: texts that
+aren't copies are counted where they are read, copies send the counts of one text each.
 
 Base spans are the leftmost, non-overlapping matches of each kind; positions are code
 points, ends exclusive. Spans of different kinds may overlap and all are listed.
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorscape.llm.shared import ALNUM, ALNUM_BYTES, materialise, slices, table, utf8, words
+from vectorscape.llm.shared import ALNUM_BYTES, discard, materialise, slices, table, utf8, words
 
 # Kinds in the contract's order, then the method's own.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -167,57 +168,108 @@ def stable(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def word_count(data: np.ndarray, offsets: np.ndarray) -> int:
-    """The number of words of some rows; a word never crosses a row."""
-    edges = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
-    return len(bytes(data).translate(ALNUM_BYTES).split()) + int((ALNUM[data[edges]] & ALNUM[data[edges - 1]]).sum())
+def text_name(data: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(data)
 
 
 def find_base(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
-    """(key, n_words, found, near) of every document."""
+    """(key, text_name, n_words, found, near) of every document."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
             found, near = scan_batch(b.column(1).to_pylist(), reach)
-            n = word_count(*utf8(b.column(1)))
-            counts = pa.array([n] + [0] * (b.num_rows - 1), pa.int64())  # of the slice, for N
-            yield pa.RecordBatch.from_arrays([b.column(0), counts, pa.array(found, _FOUND_TYPE), pa.array(near, _NEAR_TYPE)], ["k", "n_words", "found", "near"])
+            data, offsets = utf8(b.column(1))
+            raw = [data[s:e].tobytes() for s, e in zip(offsets.tolist(), offsets[1:].tolist())]
+            n_words = [len(t.translate(ALNUM_BYTES).split()) for t in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(text_name, raw), pa.binary()), pa.array(n_words, pa.int64()), pa.array(found, _FOUND_TYPE), pa.array(near, _NEAR_TYPE)], ["k", "text_name", "n_words", "found", "near"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("_text")).mapInArrow(run, f"k {kind}, n_words bigint, found {_FOUND}, near {_NEAR}").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("_text")).mapInArrow(run, f"k {kind}, text_name binary, n_words bigint, found {_FOUND}, near {_NEAR}").withColumnRenamed("k", key)
 
 
-def count_terms(docs: DataFrame, text: str, terms: DataFrame, send: int) -> DataFrame:
-    """(term, n): how often each of ``terms`` stands in the whole corpus."""
-    n_terms = terms.count()
-    wanted = np.sort(np.array([r.term for r in terms.collect()], np.int64)) if n_terms <= send else None
+#: Bits of the filter that says which texts may be copies: 8 MB, whatever the input. What it lets through too often is only counted another way.
+FILTER_BITS = 1 << 26
+
+
+def filter_of(names: DataFrame) -> np.ndarray:
+    """A bit map of the names of texts (text_name), merged in the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                h = bits_of(b.column(0).to_pylist())
+                word, at = np.unique(h >> 6, return_inverse=True)
+                bits = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(bits, at, np.uint64(1) << (h & 63).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    found = names.select("text_name").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def bits_of(names: list[bytes]) -> np.ndarray:
+    return (np.frombuffer(b"".join(n[:8] for n in names), np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def count_terms(docs: DataFrame, base: DataFrame, text: str, terms: DataFrame, send: int) -> DataFrame:
+    """(term, n): how often each of ``terms`` stands in the different texts of the corpus."""
+    context = docs.sparkSession.sparkContext
+    wanted = context.broadcast(np.sort(terms.toArrow().column("term").to_numpy())) if terms.count() <= send else None
+    copied = context.broadcast(filter_of(base.groupBy("text_name").count().filter("count > 1")))
+
+    def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if wanted is not None:
+            all_ = wanted.value
+            at = np.minimum(np.searchsorted(all_, h), max(0, len(all_) - 1))
+            h = h[all_[at] == h] if len(all_) else h[:0]
+        term, n = np.unique(h, return_counts=True)
+        return term, n.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            h = words(*utf8(b.column(0)))[2].view(np.int64)
-            if wanted is not None:
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                h = h[wanted[at] == h] if len(wanted) else h[:0]
-            term, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
+            data, offsets = utf8(b.column(0))
+            _, _, h, first = words(data, offsets)
+            h = h.view(np.int64)
+            names = [text_name(data[s:e].tobytes()) for s, e in zip(offsets.tolist(), offsets[1:].tolist())]
+            bit = bits_of(names)
+            copy = (copied.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            out = [(names[i], *counted(h[first[i] : first[i + 1]])) for i in np.flatnonzero(copy).tolist()]
+            out.append((None, *counted(h[~np.repeat(copy, np.diff(first))])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), *(pa.array([o[k].tobytes() for o in out], pa.binary()) for k in (1, 2))], ["text_name", "terms", "counts"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                term, n = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int64) for k in (0, 1))
+                term, at = np.unique(term, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.bincount(at, n, len(term)).astype(np.int64))], ["term", "n"])
 
-    counts = docs.select(F.col(text).alias("_text")).mapInArrow(run, "term bigint, n bigint")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("n"))
-    return counts if wanted is not None else counts.join(terms, "term", "left_semi")
+    packed = materialise(docs.select(F.col(text).alias("_text")).mapInArrow(run, "text_name binary, terms binary, counts binary"), "counts")
+    once = packed.filter("text_name is not null").groupBy("text_name").agg(F.first(F.struct("terms", "counts")).alias("x")).select("x.*")
+    counts = packed.filter("text_name is null").select("terms", "counts").unionByName(once).mapInArrow(unpacked, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    out = materialise(counts if wanted is not None else counts.join(terms, "term", "left_semi"), "term-counts")
+    discard(packed)
+    return out
 
 
 def disclosures(docs: DataFrame, base: DataFrame, text: str = "text", prior: float = PRIOR, generalise_at: float = GENERALISE_AT, send: int = SEND_TERMS) -> DataFrame:
-    """(entity, term, degree) of the terms that reveal an entity; ``base`` is what ``find_base`` found."""
-    near = base.select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.term").groupBy("entity", "context", "term").agg(F.count("*").alias("again"))
+    """(entity, term, degree), written out, of the terms that reveal an entity; ``base`` is what ``find_base`` found."""
+    texts = materialise(base.groupBy("text_name").agg(*(F.first(c).alias(c) for c in ("n_words", "found", "near"))), "texts")
+    near = texts.select(F.explode("near").alias("x")).select("x.entity", "x.context", "x.term").groupBy("entity", "context", "term").agg(F.count("*").alias("again"))
     pairs = materialise(near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.sum("again").alias("again")), "pairs")
-    total = base.agg(F.sum("n_words")).first()[0] or 0
-    counts = count_terms(docs, text, pairs.select("term").distinct(), send)
-    mentions = base.select(F.explode("found").alias("x")).groupBy("x.entity").agg(F.count("*").alias("n_entity"))
+    total = texts.agg(F.sum("n_words")).first()[0] or 0
+    terms = materialise(pairs.select("term").distinct(), "near-terms")
+    counts = count_terms(docs, base, text, terms, send)
+    mentions = texts.select(F.explode("found").alias("x")).groupBy("x.entity").agg(F.count("*").alias("n_entity"))
     both = pairs.join(counts, "term").join(mentions, "entity")
     content = -F.log2(F.least(F.lit(0.5), F.col("n_entity") / F.lit(float(max(total, 1)))))
     n = F.col("n") - F.col("again") + F.col("n_both")  # contexts of the entity once, all else as it stands
     degree = 1 + F.log2(F.least(F.lit(1.0), F.col("n_both") / (n + F.lit(float(prior))))) / content
-    return both.select("entity", "term", degree.alias("degree")).filter(F.col("degree") >= generalise_at)
+    out = materialise(both.select("entity", "term", degree.alias("degree")).filter(F.col("degree") >= generalise_at), "terms")
+    discard(texts, pairs, terms, counts)
+    return out
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, prior: float = PRIOR, generalise_at: float = GENERALISE_AT, send: int = SEND_TERMS) -> DataFrame:
@@ -226,11 +278,13 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int =
     ``kind`` counts in ``KINDS``; the degree of a base span is 1.
     """
     base = materialise(find_base(docs, key, text, reach).withColumn("_row", F.monotonically_increasing_id()), "pii")
-    revealed = materialise(disclosures(docs, base, text, prior, generalise_at, send), "terms")
+    revealed = disclosures(docs, base, text, prior, generalise_at, send)
     mine = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(1.0).alias("degree")))
     rows = base.select(key, "_row", mine.alias("spans"), "near")
-    if revealed.isEmpty():
+    n = revealed.count()
+    if n == 0:
         return rows.select(key, F.array_sort("spans").alias("spans"))
+    revealed = F.broadcast(revealed) if n <= send // 8 else revealed
     near = rows.select("_row", F.explode("near").alias("x")).select("_row", "x.*").join(revealed, ["entity", "term"])
     near = near.groupBy("_row", "start", "end").agg(F.max("degree").alias("degree"))
     near = near.groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "degree")).alias("terms"))
@@ -259,17 +313,18 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: in
     The texts are scanned again rather than shuffled, as long as the list of disclosures is at most ``send`` long.
     """
     base = materialise(find_base(docs, key, text, reach), "pii")
-    revealed = materialise(disclosures(docs, base, text, prior, generalise_at, send), "terms")
+    revealed = disclosures(docs, base, text, prior, generalise_at, send)
+    discard(base)
     if (n := revealed.count()) > send:
         return sanitise_joined(docs, text, reach, prior, generalise_at, remove_at, send)
-    sent = revealed.toArrow() if n else None
-    columns_of = [sent.column(c).to_numpy() for c in ("entity", "term", "degree")] if n else None
+    given = docs.sparkSession.sparkContext.broadcast([revealed.toArrow().column(c).to_numpy() for c in ("entity", "term", "degree")]) if n else None  # at most 24 bytes for each of ``send``
+    discard(revealed)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         degree = {}
-        if columns_of:
-            entities, terms, degrees = (c.tolist() for c in columns_of)
+        if given is not None:
+            entities, terms, degrees = (c.tolist() for c in given.value)
             degree = dict(zip(zip(entities, terms), degrees))
         for b in batches:
             for s in slices(iter([b]), b.schema.names[at]):
