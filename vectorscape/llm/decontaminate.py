@@ -3,10 +3,11 @@
 Each slice of training documents is a shard with a suffix array over its words.
 The array is sparse: it leaves out suffixes that can't reach any test window,
 those with a word pair that no benchmark item has before the shortest window's
-end; a match of w words needs all of its w - 1 pairs, so none is lost. Every test
-suffix is looked for by binary search; the range that it finds holds all verbatim
-matches and their places. Matches on one diagonal of an item and a document grow
-into the longest match. A last check compares the words' bytes, so that a hash
+end; a match of w words needs all of its w - 1 pairs, so none is lost. Its suffixes
+are ordered by their first ``size`` words, which is all that a window can ask for.
+Every test suffix is looked for by binary search; the range that it finds holds all verbatim
+matches and their places. Matches on one diagonal of an item and a document are put
+together to the longest match. A last check compares the words' bytes, so that a hash
 can't add a match.
 
 Windows have ``size`` consecutive words of an item; an item of fewer words is one
@@ -196,10 +197,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     else:
         rows = docs.select(F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("_id"), F.col(text).alias("_t"))
         rows = materialise(rows, "rows")
-        parts = [matches(rows, items_of(b), "_id", "_t", kind, size) for b in blocks]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = None
+        for b in blocks:  # one after another, so that one block is in memory
+            found = matches(rows, items_of(b), "_id", "_t", kind, size)
+            part = materialise(found if out is None else found.filter(F.size("hit") > 0), "matches")
+            out = part if out is None else out.unionByName(part)
+        discard(rows)
         out = out.groupBy("_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.flatten(F.collect_list("spans")).alias("spans"))
         out = out.withColumn(key, F.col("_id.key"))
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"].cast("string"))))
