@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vectorscape.llm.shared import slices, table
 
 #: Code points of a leaf of the tree, and of the first window on each side of a seam.
-LEAF, WINDOW = 4096, 64
+LEAF, WINDOW = 512, 64
 #: A pattern boundary that holds in every context: a non-blank, then white space. Blanks here are those
 #: on which Python's and the pattern's classes agree, so that an edge is never a false one.
 EDGE = re.compile(r"[^\s\x1c-\x1f\x85](?=[ \t\n\r])")
