@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -43,7 +43,7 @@ def test_store(spark, tmp_path):
         store.append(df.filter(F.col("id") % 5 == k).coalesce(2))
     before = store.manifest()
     after = store.compact()
-    assert len(after["shards"]) < len(before["shards"]) and store.read().exceptAll(df).count() == 0 and store.read().count() == 3000
+    assert len(store.shards(after)) < len(store.shards(before)) and store.read().exceptAll(df).count() == 0 and store.read().count() == 3000
     assert store.read(before["version"]).count() == 3000
     with pytest.raises(RuntimeError):
         store.commit(before, df.schema, [])
@@ -55,6 +55,39 @@ def test_store(spark, tmp_path):
     assert odd_store.read().exceptAll(odd(spark)).count() == 0
 
 
+def test_store_schemas(spark, tmp_path):
+    """An append may lack columns or bring new ones; nothing is lost by it, nor by compaction; other types commit nothing."""
+    store = shards.ShardStore(spark, str(tmp_path / "s"), target_bytes=100_000, fan=2)
+    store.append(spark.createDataFrame([(1, "a")], "id long, x string"))
+    store.append(spark.createDataFrame([(2,)], "id long"))
+    store.append(spark.createDataFrame([(2.5, 3)], "y double, id long"))
+    want = [(1, "a", None), (2, None, None), (3, None, 2.5)]
+    assert store.read().columns == ["id", "x", "y"] and sorted(map(tuple, store.read().collect())) == want
+    version = store.manifest()["version"]
+    for bad in ("id string", "ID long"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], bad))
+    assert store.manifest()["version"] == version
+    store.compact()
+    store.vacuum()
+    assert sorted(map(tuple, store.read().collect())) == want
+
+
+def test_store_lists(spark, tmp_path, monkeypatch):
+    """Short lists are put together; a tier that doesn't pack stays, and doesn't keep others from packing."""
+    monkeypatch.setattr(shards, "SHORT_LISTS", 3)
+    store = shards.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 20, fan=2)
+    for k in range(8):
+        store.append(spark.range(k * 10, k * 10 + 10).coalesce(1))
+    m = store.manifest()
+    assert len(m["lists"]) <= 3 and sum(x["shards"] for x in m["lists"]) == len(store.shards(m)) == 8
+    assert store.read(3).count() == 30
+    after = store.compact()
+    assert len(store.shards(after)) < 8 and sorted(r.id for r in store.read().collect()) == list(range(80))
+    store.vacuum(2)
+    assert len(store.versions()) == 2 and store.read().count() == store.read(store.versions()[0]).count() == 80
+
+
 # 2
 
 
@@ -146,6 +179,16 @@ def test_hosts(spark):
     assert quality.judge(odd(spark).limit(0)).count() == 0 and quality.judge(odd(spark)).count() == len(ODD)
 
 
+def test_one_failure_rejects_no_host(spark):
+    """Hosts of one document each, 30 % of which fail: the spread of their rates is sampling noise alone."""
+    rows = [(f"h{i}", i % 10 < 3) for i in range(500)]
+    got = quality.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()
+    assert not any(r.rejected for r in got)
+    rows += [("bad", True)] * 400 + [("good", False)] * 600
+    got = {r.host: r.rejected for r in quality.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
+    assert [h for h, x in got.items() if x] == ["bad"]
+
+
 # 5
 
 
@@ -194,9 +237,55 @@ def test_rare_entities_disclose(spark):
         assert sorted((r.doc_id or 0, r.text) for r in pii.sanitise(docs, send=0).collect()) == clean
 
 
-def test_words_end_with_their_row():
-    for texts in (["a b", "c", "", None, "é d.", "e"], ["", "x"], ["", None], ["a."]):
-        assert pii.word_count(*shared.utf8(pa.array(texts, pa.string()))) == sum(len(decontaminate.word_list(t)) for t in texts)
+def test_copies_change_no_degree(spark):
+    """A name that also stands out of reach of its entity: however often its text is copied, the degrees are the same."""
+    far = " ".join(f"pad{i}" for i in range(12))
+    texts = [f"quokka met ann@x.org and {far} quokka again", f"gecko gecko met bob@x.org {far}", *[f"note{i} met with someone" for i in range(900)]]
+    seen = []
+    for copies in (1, 6):
+        docs = odd(spark, [(i, t) for i, t in enumerate(texts) for _ in range(copies if i < 2 else 1)])
+        base = pii.find_base(docs, "doc_id", "text", pii.REACH)
+        assert all(r.n_words == len(decontaminate.word_list(texts[r.doc_id])) for r in base.collect())
+        degrees = pii.disclosures(docs, base, generalise_at=0.0, send=1000)
+        assert sorted(map(tuple, pii.disclosures(docs, base, generalise_at=0.0, send=2).collect())) == sorted(map(tuple, degrees.collect()))
+        seen.append(sorted(tuple(r) for r in degrees.collect()))
+    assert seen[0] == seen[1] and len(seen[0]) > 4
+
+
+def test_degrees_by_hand(spark):
+    """n(e, t), n(t) and IC(e) counted plainly over different texts."""
+    r = random.Random(14)
+    mails = ["ann@x.org", "bob@y.org"]
+    texts = [" ".join(r.choice([*mails, *"alpha beta gamma delta epsilon zeta".split(), *(f"w{k}x" for k in range(60))]) for _ in range(r.randint(1, 60))) for _ in range(80)]
+    docs = odd(spark, [(i, t) for i, t in enumerate(texts + texts[:30])])
+    near, both, total, mentions = defaultdict(set), Counter(), Counter(), Counter()
+    for t in sorted(set(texts)):
+        tokens = [(m.group(), m.start()) for m in re.finditer(r"[a-z0-9@.]+", t)]
+        plain = [w for w, _ in tokens]
+        total.update(x for w in plain for x in re.findall("[a-z0-9]+", w))
+        around, contexts = defaultdict(dict), {}
+        spans = [k for k, w in enumerate(plain) if "@" in w]
+        pieces = [(x, k) for k, w in enumerate(plain) for x in re.findall("[a-z0-9]+", w)]
+        for k in spans:
+            mentions[plain[k]] += 1
+            before, after = [p for p in pieces if p[1] < k][-8:], [p for p in pieces if p[1] > k][:8]
+            contexts[k] = " ".join(x for x, _ in before + after)
+            first = next(i for i, p in enumerate(pieces) if p[1] == k)
+            for i, (x, at) in [*list(enumerate(pieces))[max(0, first - 8) : first], *list(enumerate(pieces))[first + 3 : first + 11]]:
+                if len(x) >= 3 and "@" not in plain[at]:
+                    around[plain[k]].setdefault(i, (x, contexts[k]))
+        for e, of in around.items():
+            for x, context in of.values():
+                both[e, context, x] += 1
+    n_both, again = Counter((e, x) for e, _, x in both), Counter()
+    for (e, _, x), n in both.items():
+        again[e, x] += n
+    want = {}
+    for (e, x), n in n_both.items():
+        content = -np.log2(min(0.5, mentions[e] / sum(total.values())))
+        want[pii.stable(f"email:{e}"), int(pii.hashes_of([x])[0])] = 1 + np.log2(min(1.0, n / (total[x] - again[e, x] + n + pii.PRIOR))) / content
+    got = {(r.entity, r.term): r.degree for r in pii.disclosures(docs, pii.find_base(docs, "doc_id", "text", pii.REACH), generalise_at=-9.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_overlaps():
@@ -256,6 +345,14 @@ def test_toxicity_learns(spark):
     assert none.entries == [] and toxicity.score(docs, none).count() == docs.count()
 
 
+def test_rare_terms_are_learned():
+    """A precise term in few of many toxic rows is an entry, one that chance explains isn't, whatever the sample."""
+    for n_toxic, n_clean in ((500, 4000), (2000, 18_000)):
+        nodes = {"zorg": (60, 60), "blip": (9, 9), "half": (60, 60)}
+        toxic, clean = Counter(zorg=60, blip=9, half=60), Counter(half=300)
+        assert [e.text for e in toxicity.choose_entries(nodes, toxic, clean, n_toxic, n_clean, 0.8)] == ["zorg"]
+
+
 def test_held_out_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     scored = toxicity.score(shared.table(spark, sf, "documents"), toxicity.learn(shared.table(spark, sf, "documents"), toxicity.learning_rows(shared.table(spark, sf, "labels"))))
@@ -289,6 +386,7 @@ def brute_join(rows):
 
 @pytest.mark.parametrize("small_blocks", [False, True])
 def test_near_join(spark, monkeypatch, small_blocks):
+    """With small blocks the runs of the tries are cut, met again and verified block by block; hot keys are sent."""
     r = random.Random(6)
     rows = list(ODD)
     for g in range(12):
@@ -300,7 +398,8 @@ def test_near_join(spark, monkeypatch, small_blocks):
             rows.append((100 * (g + 1) + k, " ".join(w)))
     if small_blocks:
         monkeypatch.setattr(neardup, "BLOCK_SIGNATURES", 3)
-        monkeypatch.setattr(neardup, "BLOCK_BYTES", 2000)
+        monkeypatch.setattr(neardup, "BLOCK_BYTES", 500)
+        monkeypatch.setattr(shared, "HOT_ROWS", 2)
     got = neardup.near_join(odd(spark, rows), send=5 if small_blocks else 1000)
     assert sorted({tuple(x) for x in got.collect()}) == brute_join(rows)
     kept = [x.doc_id for x in neardup.keep_one(odd(spark, rows)).collect()]
@@ -315,8 +414,38 @@ def test_near_join_repeated_smallest_key(spark):
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 3, 0), (3, 3, 2), (4, 3, 2), (5, 3, 2)]
 
 
-def test_prefix_depth():
-    d = neardup.prefix_depth(0.8, 32, 0.9999)
+def test_near_join_names_and_keys(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " x"), (3, "else"), (None, text), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").withColumns({"copy": F.lit(1), "Copy2": F.lit(2), "k": F.lit(3), "_copy": F.lit(4), "class_id": F.lit(5)})
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, text), (1, text), (3, "else")]
+    with pytest.raises(ValueError):
+        neardup.near_join(docs.withColumn("doc_id", F.lit("a")))
+
+
+def test_forest():
+    """Runs are joined where signatures agree, at any depth down to the last, and nowhere else."""
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 16, (6, 64)).astype(np.uint16)
+    sig = base[r.integers(0, 6, 200)]
+    sig[r.random(sig.shape) < 0.08] = 7
+    bucket, label = np.repeat([1, 2], 100), r.integers(0, 2, (200, 8)).astype(np.uint16)
+    label[:, :3] = 5
+    order = np.lexsort((*label.T[::-1], bucket))
+    sig, label, bucket = sig[order], label[order], bucket[order]
+    root = neardup.shortened(bucket, label, sig, 3, 40)
+    want = np.arange(200)
+    for _ in range(200):
+        for i in range(200):
+            near = (bucket == bucket[i]) & ((sig == sig[i]).sum(1) >= 40)
+            want[near] = want[near].min()
+    assert all(len({w for w, x in zip(want, root) if x == y}) == 1 for y in set(root.tolist())) and len(set(root.tolist())) == len(set(want.tolist()))
+
+
+def test_last_depth():
+    d = neardup.last_depth(0.8, 32, 0.9999)
     assert 1 - (1 - 0.8**d) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 32
 
 
@@ -350,6 +479,17 @@ def test_repeats(spark, group, keep_first):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_large_group_of_repeats(spark):
+    """A passage in many texts, whose contexts make groups far above ``group``, cut differently in each."""
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdefgh") for _ in range(70))
+    texts = ["".join(r.choice("xyz") for _ in range(r.randint(0, 40))) + passage[r.choice([0, 0, 7]) : r.choice([70, 70, 55])] + "".join(r.choice("xyz") for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for keep_first in (False, True):
+        got = {x.doc_id: bytes(x.kept) for x in substrings.remove_repeats(docs, length=40, anchor=13, group=16, keep_first=keep_first).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], 40, keep_first)
+
+
 def test_factors():
     r = np.random.default_rng(8)
     data = r.integers(97, 100, 120).astype(np.uint8)
