@@ -51,7 +51,7 @@ def test_store(spark, tmp_path):
     assert store.versions() == [after["version"]] and store.read().count() == 3000
     store.append(df.limit(0))
     assert store.read().count() == 3000
-    odd_store = shards.shard(odd(spark), str(tmp_path / "o"))
+    odd_store = shards.shard([odd(spark)], str(tmp_path / "o"))
     assert odd_store.read().exceptAll(odd(spark)).count() == 0
 
 
@@ -73,6 +73,16 @@ def test_store_schemas(spark, tmp_path):
     assert sorted(map(tuple, store.read().collect())) == want
 
 
+def test_files_arrive_in_turn(spark, tmp_path):
+    for n_files in (1, 7):
+        rows = spark.range(100).selectExpr("id AS doc_id", "cast(id AS string) AS text").repartition(n_files)
+        rows.write.parquet(str(tmp_path / f"{n_files}" / "t.parquet"))
+        parts = shards.by_files(spark, str(tmp_path / f"{n_files}"), "t", 3)
+        assert len(parts) == min(3, n_files) and sorted(r.doc_id for p in parts for r in p.collect()) == list(range(100))
+        store = shards.shard(parts, str(tmp_path / f"s{n_files}"), fan=2)
+        assert sorted(r.doc_id for r in store.read().collect()) == list(range(100)) and len(store.shards(store.manifest())) < 7
+
+
 def test_store_lists(spark, tmp_path, monkeypatch):
     """Short lists are put together; a tier that doesn't pack stays, and doesn't keep others from packing."""
     monkeypatch.setattr(shards, "SHORT_LISTS", 3)

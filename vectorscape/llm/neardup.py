@@ -385,9 +385,9 @@ def near_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshol
     held = materialise(members.join(sets_of(plain, rough.select("node"), size, send), ["k", "set_key"]), "sets")
     apart = differences(held)
     discard(held, *edges)
-    sizes = apart.groupBy("root").agg(F.sum(F.octet_length("delta") + ROW_BYTES).alias("bytes"), F.count("*").alias("members"))
+    sizes = materialise(apart.groupBy("root").agg(F.sum(F.octet_length("delta") + ROW_BYTES).alias("bytes"), F.count("*").alias("members")), "blocks")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    dealt = blocked(join_hot(apart, materialise(sizes, "blocks"), ["root"], "members", apart.count()), "root", "k", blocks).select("root", "_i", "_j", "k", "set_key", "n_texts", "size", "delta", "_b")
+    dealt = blocked(join_hot(apart, sizes, ["root"], "members", apart.count()), "root", "k", blocks).select("root", "_i", "_j", "k", "set_key", "n_texts", "size", "delta", "_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
@@ -406,7 +406,7 @@ def near_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshol
     out = join_hot(told.filter("k is not null").select("k", "set_key"), named, ["set_key"], "n_rows", told.count()).select("k", "class_id", F.col("n_links").cast("long").alias("n_links"))
     out = out.unionByName(told.filter("k is null").select("k", F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     out = materialise(out, "joined")
-    discard(told, nodes, rough, apart, checked, final, named)
+    discard(told, nodes, rough, apart, sizes, checked, final, named)
     return out.withColumnRenamed("k", key)
 
 

@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,8 @@ from vectorscape.llm.shared import new_path, table
 TARGET_BYTES, FAN = 128 << 20, 4
 #: Shards that one list names, and lists far shorter than that which a commit leaves.
 LIST_SHARDS, SHORT_LISTS = 4096, 64
+#: Appends that the files of a table are dealt to.
+ARRIVALS = 4
 
 
 class ShardStore:
@@ -235,19 +238,28 @@ class ShardStore:
         return self._read(self.shards(m), StructType.fromJson(m["schema"]))
 
 
-def shard(docs: DataFrame, path: str, target_bytes: int = TARGET_BYTES, fan: int = FAN) -> ShardStore:
-    """Append ``docs`` to the store at ``path``, compact it and drop what the result doesn't need."""
-    store = ShardStore(docs.sparkSession, path, target_bytes, fan)
-    store.append(docs)
+def shard(arrivals: Sequence[DataFrame], path: str, target_bytes: int = TARGET_BYTES, fan: int = FAN) -> ShardStore:
+    """Append all arrivals to the store at ``path``, one version each, compact it and drop what the result doesn't need."""
+    store = ShardStore(arrivals[0].sparkSession, path, target_bytes, fan)
+    for a in arrivals:
+        store.append(a)
     store.compact()
     store.vacuum()
     return store
 
 
+def by_files(spark: SparkSession, sf_dir: str, name: str, most: int = ARRIVALS) -> list[DataFrame]:
+    """A table of a folder as at most ``most`` arrivals of whole files each."""
+    whole = table(spark, sf_dir, name)
+    files = sorted(whole.inputFiles())
+    if len(files) < 2:
+        return [whole]
+    return [spark.read.schema(whole.schema).parquet(*files[k::most]) for k in range(min(most, len(files)))]
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the shard that holds it, read back from the committed version."""
-    docs = table(spark, sf_dir, "documents")
-    store = shard(docs, new_path(spark, "shards"))
+    """Every document with the shard that holds it, read back from the committed version; the table's files arrive in turn."""
+    store = shard(by_files(spark, sf_dir, "documents"), new_path(spark, "shards"))
     return store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "lang", "source", "n_chars", (F.input_file_name() != "").alias("in_shard"))
 
 
