@@ -2,7 +2,8 @@
 
 The lexicon is a trie learned from labelled rows: a node is an entry if documents that
 hold a word through it are toxic and it was seen between ``support`` different pairs of
-neighbouring words (so a text's copies count once). A node whose words go on in many
+neighbouring words (so a text's copies count once). It must stand in a share of the toxic
+rows, or be so precise that chance can't explain it, however few rows hold it. A node whose words go on in many
 ways is a stem and accepts any ending; else it is a whole word. A Levenshtein automaton
 of each text word, bit-parallel, is intersected with the trie: one walk finds all
 entries within the distance that an entry's length allows, so misspelled and disguised
@@ -14,10 +15,10 @@ unseen misspelling counts as abuse, unseen quotation doesn't). A document's scor
 that of its gravest hit.
 
 ``sample``: at most so many labelled rows are learned from, those whose keys have the
-smallest hashes. Scoring reads whole texts of all documents; labels, languages, sources
-and keys are no inputs.
+smallest hashes; they are written out once. Scoring reads whole texts of all documents;
+labels, languages, sources and keys are no inputs.
 
-Rows: null and empty texts have no hits and get the score of documents without hits;
+Rows: a key with several texts teaches by the least of them; null and empty texts have no hits and get the score of documents without hits;
 without any labels of a kind the lexicon is empty. Keys with several label rows are
 toxic if one of them is; null labels teach nothing. Repeated documents score alike.
 ``reject`` keeps all columns of what it keeps.
@@ -35,12 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorscape.llm.shared import ALNUM_BYTES, LOWER, slices, table, utf8, words
+from vectorscape.llm.shared import ALNUM_BYTES, LOWER, discard, materialise, slices, table, utf8, words
 
 #: Labelled rows that are learned from.
 SAMPLE = 20_000
-#: An entry needs so many contexts, this share of the toxic rows at least, and that of the clean ones at most.
-SUPPORT, SHARE, COMMON, MIN_PRECISION = 6, 0.03, 0.04, 0.8
+#: An entry needs so many contexts, this share of the clean rows at most, and this precision: as counted with this share of
+#: the toxic rows, or below that share with both counts so many standard errors worse.
+SUPPORT, SHARE, COMMON, MIN_PRECISION, ERRORS = 6, 0.03, 0.04, 0.8, 5.0
 SHORTEST, LONGEST = 3, 16
 #: Characters on each side of a hit in which quotation marks count, and words in which other hits do, up to CROWD.
 CONTEXT, NEIGHBOURS, CROWD = 120, 100, 3
@@ -250,10 +252,11 @@ def word_strings(text: str | None) -> list[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
-    """(_text, _toxic) of at most ``sample`` labelled rows; the broadcast side has no more rows than that."""
+    """(_text, _toxic) of at most ``sample`` labelled keys, the least text of each; the broadcast side has no more rows than that."""
     picked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_toxic"))
     picked = picked.orderBy(F.xxhash64("_k"), "_k").limit(sample)
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), F.col("_key") == F.col("_k")).select("_text", "_toxic")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), F.col("_key") == F.col("_k"))
+    return materialise(rows.groupBy("_key").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"), F.first("_toxic").alias("_toxic")).select("_text", "_toxic"), "labelled")
 
 
 def candidate_nodes(toxic: DataFrame, support: int) -> dict[str, tuple[int, int]]:
@@ -289,7 +292,14 @@ def document_counts(rows: DataFrame, nodes: set[str]) -> Counter:
     return Counter({r.node: r.n for r in counts.collect()})
 
 
-def choose_entries(nodes: dict[str, tuple[int, int]], toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, share: float, min_precision: float) -> list[Entry]:
+def precision(toxic: int, clean: int, n_toxic: int, n_clean: int, errors: float = 0.0) -> float:
+    """The precision among as many toxic as clean rows, with both counts ``errors`` standard errors worse."""
+    low = max(0.0, toxic - errors * toxic**0.5) / max(1, n_toxic)
+    high = (clean + 0.5 + errors * (clean + 0.5) ** 0.5) / max(1, n_clean)
+    return low / (low + high)
+
+
+def choose_entries(nodes: dict[str, tuple[int, int]], toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, min_precision: float) -> list[Entry]:
     """The topmost nodes of high precision, each taken down to where its words part."""
     children: dict[str, list[str]] = {}
     for x in nodes:
@@ -298,8 +308,8 @@ def choose_entries(nodes: dict[str, tuple[int, int]], toxic: Counter, clean: Cou
     for x in sorted(nodes, key=lambda x: (len(x), x)):
         if any(x.startswith(e.text) or e.text.startswith(x) for e in entries):
             continue
-        rate_toxic, rate_clean = toxic[x] / max(1, n_toxic), (clean[x] + 0.5) / max(1, n_clean)
-        if toxic[x] < max(2, share * n_toxic) or rate_clean > COMMON or rate_toxic / (rate_toxic + rate_clean) < min_precision:  # were there as many toxic rows as clean ones
+        frequent = toxic[x] >= max(2, SHARE * n_toxic) and nodes[x][0] >= int(SHARE * n_toxic)
+        if clean[x] + 0.5 > COMMON * max(1, n_clean) or precision(toxic[x], clean[x], n_toxic, n_clean, 0.0 if frequent else ERRORS) < min_precision:
             continue
         node = x
         while len(down := [c for c in children.get(node, []) if nodes[c][0] >= 0.9 * nodes[node][0]]) == 1 and nodes[node][1] < 0.5 * nodes[node][0]:
@@ -308,15 +318,15 @@ def choose_entries(nodes: dict[str, tuple[int, int]], toxic: Counter, clean: Cou
     return entries
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, support: int = SUPPORT, share: float = SHARE, min_precision: float = MIN_PRECISION) -> Model:
-    """Fit lexicon and class odds on at most ``sample`` rows of ``labels``."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, support: int = SUPPORT, min_precision: float = MIN_PRECISION) -> Model:
+    """Fit lexicon and class odds on at most ``sample`` rows of ``labels``; the documents are scanned once."""
     rows = training_rows(docs, labels, key, text, label, sample)
     sizes = {bool(r._toxic): r["count"] for r in rows.groupBy("_toxic").count().collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     toxic, clean = rows.filter("_toxic > 0"), rows.filter("_toxic <= 0")
-    nodes = candidate_nodes(toxic, max(support, int(share * n_toxic)))
+    nodes = candidate_nodes(toxic, support)
     names = set(nodes)
-    entries = choose_entries(nodes, document_counts(toxic, names), document_counts(clean, names), n_toxic, n_clean, share, min_precision) if nodes else []
+    entries = choose_entries(nodes, document_counts(toxic, names), document_counts(clean, names), n_toxic, n_clean, min_precision) if nodes else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, count = Scanner(Lexicon(entries)), Counter()
@@ -333,6 +343,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("c")
     )
     seen = {Class(r.entry, r.distance, r.quoted, r.crowd): (r.t, r.c) for r in counts.collect()}  # at most 18 rows an entry
+    discard(rows)
     t, c = seen.pop(NOTHING, (0, 0))
     return Model(entries, seen, min(0.49, (t + 0.5) / (t + c + 10)))
 
