@@ -196,3 +196,29 @@ def test_metadata_of_results(spark):
     assert {r.id: r.title for r in retrieval.with_metadata(found, meta, "id", ["title"], "at").collect()} == {"a": "second", "z": "?"}
     assert {r.id for r in retrieval.align(found, meta, "id").collect()} == {"a"}
     assert {r.c for r in retrieval.place(meta.select("id").distinct(), "id", spark.createDataFrame([("a", 7)], "node string, c int")).collect()} == {7, None}
+
+
+def test_layout_keeps_groups(spark):
+    """Three groups of directions: the layout is trusted, and rows stay nearer to their own group."""
+    r = np.random.default_rng(11)
+    x = np.repeat(np.eye(3, 8), 20, axis=0) + 0.05 * r.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    made = layout.umap_layout(df, 8, epochs=100)
+    q = layout.layout_quality(df, made, 8).first()
+    assert q.n == 60 and q.trustworthiness > 0.8
+    y = np.array([(p.x, p.y) for p in sorted(made.collect(), key=lambda p: p.node)])
+    far = np.linalg.norm(y[:, None] - y[None], axis=2)
+    own = np.repeat(np.arange(3), 20)
+    assert far[own[:, None] == own].mean() < 0.5 * far[own[:, None] != own].mean()
+    both = df.select(F.col("vec_id").alias("node"))
+    assert [p.node for p in quality.subsample(both, "node", 7).collect()] == [p.node for p in quality.subsample(made, "node", 7).collect()]
+
+
+def test_approximate_neighbours(spark, sf):
+    """Recall of at least 0.9 against the exact neighbours; exact with all cells; hot cells in blocks change nothing."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    exact = {(r.src, r.dst) for r in knn.nearest(df, 10).collect()}
+    near = {(r.src, r.dst) for r in knn.approximate_nearest(df, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    for rows in (50_000, 7):
+        assert {(r.src, r.dst) for r in knn.approximate_nearest(df, 10, cells=9, probes=9, cell_rows=rows).collect()} == exact

@@ -138,3 +138,26 @@ def test_embedding_extraction(spark, tmp_path):
     assert embedding.provider_for(spec, {"shape": lambda spec, dtype: (spec.name, dtype)})() == ("m", np.float32)
     with pytest.raises(ValueError, match="unknown provider"):
         embedding.provider_for(spec, {})
+
+
+def test_pcm_formats():
+    x = np.round(np.sin(np.arange(500) / 7) * 20000).astype(int)
+    rate80 = (16383 + 14).to_bytes(2, "big") + (22050 << 49).to_bytes(8, "big")
+    for width in (1, 2, 3, 4):
+        values = x >> 8 if width == 1 else x << 8 * (width - 2)
+        want = values / float(1 << (8 * width - 1))
+        big = b"".join(int(v).to_bytes(width, "big", signed=True) * 2 for v in values)
+        comm = (2).to_bytes(2, "big") + len(x).to_bytes(4, "big") + (8 * width).to_bytes(2, "big") + rate80
+        chunks = b"COMM" + len(comm).to_bytes(4, "big") + comm + b"SSND" + (8 + len(big)).to_bytes(4, "big") + bytes(8) + big
+        aiff = b"FORM" + (4 + len(chunks)).to_bytes(4, "big") + b"AIFF" + chunks
+        au = b".snd" + b"".join(v.to_bytes(4, "big") for v in (28, 0xFFFFFFFF, width + 1, 22050, 2)) + bytes(4) + big
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((2, width, 22050, 0, "NONE", ""))
+            w.writeframes(b"".join((int(v) + (128 if width == 1 else 0)).to_bytes(width, "little", signed=width > 1) * 2 for v in values))
+        for content in (aiff, au, out.getvalue()):
+            y, rate = audio.decode_pcm(content)
+            assert rate == 22050 and np.allclose(y, want, atol=1e-6)
+    for bad in (b"", b"RIFF", b"ID3", b".snd" + bytes(30), b"FORM" + bytes(8)):
+        with pytest.raises(Exception):
+            audio.decode_pcm(bad)

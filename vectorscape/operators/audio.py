@@ -41,20 +41,60 @@ MINOR_PROFILE = np.array([6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98,
 EPS = 1e-12
 
 
-def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1] and their rate, from 8 to 32 bit PCM."""
-    with wave.open(io.BytesIO(content)) as w:
-        width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        raw = w.readframes(w.getnframes())
+def mono(raw: bytes, width: int, channels: int, big: bool = False, signed_bytes: bool = False) -> np.ndarray:
+    """The mean of all channels of linear PCM, in [-1, 1]; ValueError if there are no samples."""
+    frame = width * channels
+    raw = raw[: len(raw) // frame * frame] if frame else b""
+    if not raw:
+        raise ValueError("the audio is empty")
     if width == 3:
-        x = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = np.frombuffer(raw, np.uint8).reshape(-1, 3)[:, :: -1 if big else 1].astype(np.int32)
         x = (x[:, 0] << 8 | x[:, 1] << 16 | x[:, 2] << 24) >> 8
+    elif width == 1:
+        x = np.frombuffer(raw, np.int8).astype(np.float64) if signed_bytes else np.frombuffer(raw, np.uint8).astype(np.float64) - 128
+    elif width in (2, 4):
+        x = np.frombuffer(raw, f"{'>' if big else '<'}i{width}").astype(np.float64)
     else:
-        x = np.frombuffer(raw, {1: np.uint8, 2: np.int16, 4: np.int32}[width]).astype(np.float64) - (128 if width == 1 else 0)
-    y = x.reshape(-1, channels).mean(1) / float(1 << (8 * width - 1))
-    if len(y) == 0:
-        raise ValueError("the audio is empty")
-    return y.astype(np.float32), rate
+        raise ValueError(f"samples of {width} bytes")
+    return (x.reshape(-1, channels).mean(1) / float(1 << (8 * width - 1))).astype(np.float32)
+
+
+def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
+    """Mono samples in [-1, 1] and their rate, from 8 to 32 bit PCM."""
+    with wave.open(io.BytesIO(content)) as w:
+        return mono(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()), w.getframerate()
+
+
+def decode_aiff(content: bytes) -> tuple[np.ndarray, int]:
+    """The same from AIFF: a COMM chunk that describes the samples, whose rate is an 80-bit float, and an SSND chunk."""
+    found, at = {}, 12
+    while at + 8 <= len(content):
+        size = int.from_bytes(content[at + 4 : at + 8], "big")
+        found[content[at : at + 4]] = content[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+    if content[8:12] != b"AIFF" or b"COMM" not in found or b"SSND" not in found:
+        raise ValueError("not an AIFF file of linear PCM")
+    head = found[b"COMM"]
+    channels, bits = int.from_bytes(head[:2], "big"), int.from_bytes(head[6:8], "big")
+    exponent, mantissa = int.from_bytes(head[8:10], "big") & 0x7FFF, int.from_bytes(head[10:18], "big")
+    return mono(found[b"SSND"][8 + int.from_bytes(found[b"SSND"][:4], "big") :], (bits + 7) // 8, channels, big=True, signed_bytes=True), round(mantissa * 2.0 ** (exponent - 16383 - 63))
+
+
+def decode_au(content: bytes) -> tuple[np.ndarray, int]:
+    """The same from AU files of linear PCM: encodings 2 to 5 have 1 to 4 bytes a sample."""
+    start, size, encoding, rate, channels = (int.from_bytes(content[k : k + 4], "big") for k in range(4, 24, 4))
+    if not 2 <= encoding <= 5:
+        raise ValueError("not an AU file of linear PCM")
+    raw = content[start:] if size == 0xFFFFFFFF else content[start : start + size]
+    return mono(raw, encoding - 1, channels, big=True, signed_bytes=True), rate
+
+
+def decode_pcm(content: bytes) -> tuple[np.ndarray, int]:
+    """Mono samples and rate from WAV, AIFF or AU, told by their first bytes. Compressed formats need a decoder of the caller's."""
+    for magic, decode in ((b"RIFF", decode_wav), (b"FORM", decode_aiff), (b".snd", decode_au)):
+        if content[:4] == magic:
+            return decode(content)
+    raise ValueError("neither WAV nor AIFF nor AU")
 
 
 def resample(y: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
@@ -274,7 +314,7 @@ def describe(y: np.ndarray, rate: int) -> dict[str, float]:
     return rhythm(y, RATE) | spectral(y, RATE) | tonal(y, RATE)
 
 
-def extract_features(tracks: DataFrame, names: tuple[str, ...] = FEATURES, decode: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav) -> DataFrame:
+def extract_features(tracks: DataFrame, names: tuple[str, ...] = FEATURES, decode: Callable[[bytes], tuple[np.ndarray, int]] = decode_pcm) -> DataFrame:
     """(song_id, features): from (song_id, samples, rate), or (song_id, content) with files of a format that ``decode`` reads.
 
     Repeated ids raise, as their rows couldn't be told apart; a file that can't be decoded fails the job.
@@ -303,7 +343,7 @@ def header_duration(content: bytes) -> float:
 
 def decoded_duration(content: bytes) -> float:
     """Seconds by the samples that are there, at the rate that the file names."""
-    y, rate = decode_wav(content)
+    y, rate = decode_pcm(content)
     return len(y) / rate
 
 

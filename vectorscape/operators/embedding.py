@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorscape.operators.audio import decode_wav, resample
+from vectorscape.operators.audio import decode_pcm, resample
 from vectorscape.sources.config import ModelSpec
 
 BATCH = 8
@@ -83,7 +83,7 @@ def _embedded(rows: DataFrame, key: str, factory: Callable[[], Any], read: Calla
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
-def extract_audio(tracks: DataFrame, factory: Callable[[], Any], batch_size: int = BATCH, decode: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav) -> DataFrame:
+def extract_audio(tracks: DataFrame, factory: Callable[[], Any], batch_size: int = BATCH, decode: Callable[[bytes], tuple[np.ndarray, int]] = decode_pcm) -> DataFrame:
     """(track_id, embedding) from (track_id, content), files that ``decode`` reads, or (track_id, samples, rate).
 
     Waves are resampled to the provider's rate. Repeated ids raise; a track that can't be read fails the job.
@@ -122,7 +122,7 @@ def audio_files(spark: SparkSession, paths: str | Sequence[str], ids: Sequence[s
     return files.join(F.broadcast(named), "path").select("track_id", "content")  # the list that was passed in
 
 
-def embed_query_audio(factory: Callable[[], Any], content: bytes, decode: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav) -> list[float]:
+def embed_query_audio(factory: Callable[[], Any], content: bytes, decode: Callable[[bytes], tuple[np.ndarray, int]] = decode_pcm) -> list[float]:
     """The vector of one query file, mono, at the provider's rate."""
     model = factory()
     y, rate = decode(content)

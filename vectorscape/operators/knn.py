@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorscape.functions.vectors import clip01, dot
-from vectorscape.operators.vectors import check_vectors
+from vectorscape.operators.vectors import check_vectors, matrix_of
 from vectorscape.storage import written
 
 #: Bytes of vectors that one pass sends to the tasks.
@@ -59,6 +59,22 @@ def nearest(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("src", "dst", F.col("rank").cast("long").alias("rank"), "similarity")
 
 
+def best_of(src: np.ndarray, x: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> pa.RecordBatch:
+    """(src, dst, similarity): the k best of the unit vectors ``matrix`` for each of ``x``, itself left out; ``ids`` are sorted."""
+    s = x @ matrix.T
+    s[src[:, None] == ids[None, :]] = -np.inf
+    take = min(k, len(ids))
+    # all that ties with the k-th, so that the choice among ties is by id
+    least = -np.partition(-s, take - 1, axis=1)[:, take - 1 : take]
+    row, col = np.nonzero((s >= least) & (s > -np.inf))
+    order = np.lexsort((ids[col], -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(src)))
+    keep = np.arange(len(row)) - first[row] < take
+    row, col = row[keep], col[keep]
+    return pa.RecordBatch.from_arrays([pa.array(src[row]), pa.array(ids[col]), pa.array(s[row, col])], ["src", "dst", "similarity"])
+
+
 def _search(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = sent.value
@@ -66,23 +82,82 @@ def _search(sent, k: int):
             step = max(1, (16 << 20) // (8 * len(ids)))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                src = part.column(0).to_numpy()
-                s = unit_rows(part.column(1).flatten().to_numpy().reshape(len(src), -1)) @ matrix.T
-                s[src[:, None] == ids[None, :]] = -np.inf
-                take = min(k, len(ids))
-                # all that ties with the k-th, so that the choice among ties is by id
-                least = -np.partition(-s, take - 1, axis=1)[:, take - 1 : take]
-                row, col = np.nonzero((s >= least) & (s > -np.inf))
-                order = np.lexsort((ids[col], -s[row, col], row))
-                row, col = row[order], col[order]
-                first = np.searchsorted(row, np.arange(len(src)))
-                keep = np.arange(len(row)) - first[row] < take
-                row, col = row[keep], col[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(src[row]), pa.array(ids[col]), pa.array(s[row, col])], ["src", "dst", "similarity"])
+                yield best_of(part.column(0).to_numpy(), unit_rows(matrix_of(part.column(1))), ids, matrix, k)
 
     return run
 
 
+def cell_centres(sample: np.ndarray, cells: int, seed: int = 42, rounds: int = 10) -> np.ndarray:
+    """Unit centres of ``cells`` groups of unit vectors, by spherical k-means; empty groups keep their centre."""
+    random = np.random.default_rng(seed)
+    centres = sample[random.choice(len(sample), cells, replace=False)]
+    for _ in range(rounds):
+        of = (sample @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, sample)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-300), centres)
+    return centres
+
+
+def approximate_nearest(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", cells: int | None = None, probes: int = 16, sample: int = 100_000, cell_rows: int = 50_000, seed: int = 42) -> DataFrame:
+    """``nearest`` by an inverted file, for tables whose squares are out of reach: each row meets the rows of its ``probes`` nearest cells.
+
+    Cells (by default the square root of the rows, 4,096 at most) are fitted on at most ``sample`` rows; every row
+    is in one. A cell of more than ``cell_rows`` rows is dealt in blocks, each of which all its queries meet, so a
+    task holds ``cell_rows`` vectors at most. With all cells probed the result is exact.
+    """
+    df = written(df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")), "vectors")
+    n = check_vectors(df, k, "v")
+    some = df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toArrow()
+    cells = min(cells or max(1, min(4096, round(n**0.5))), some.num_rows)
+    centres = df.sparkSession.sparkContext.broadcast(cell_centres(unit_rows(matrix_of(some.column("v").combine_chunks())), cells, seed))  # at most 4,096 vectors by default
+    probes = min(probes, cells)
+
+    def dealt(count: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    near = unit_rows(matrix_of(b.column(1))) @ centres.value.T
+                    cell = np.argpartition(-near, count - 1, axis=1)[:, :count].astype(np.int32)
+                    row = pa.array(np.repeat(np.arange(b.num_rows), count))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), b.column(0).take(row), b.column(1).take(row)], ["cell", "id", "v"])
+
+        return df.mapInArrow(run, "cell int, id bigint, v array<double>")
+
+    base = written(dealt(1), "cells")
+    blocks = F.broadcast(written(base.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).alias("blocks")), "sizes"))  # a row for each cell
+    rows = base.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(False).alias("asks"), "id", "v")
+    queries = dealt(probes).join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held, matrix = None, [], [], None
+        for b in batches:
+            where = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
+            cuts = [0, *(i for i in range(1, len(where)) if where[i] != where[i - 1]), len(where)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if where[i][:2] != now:
+                    now, ids, held, matrix = where[i][:2], [], [], None
+                part, x = b.column(3).slice(i, j - i).to_numpy(), unit_rows(matrix_of(b.column(4).slice(i, j - i)))
+                if not where[i][2]:
+                    ids.append(part)
+                    held.append(x)
+                    continue
+                if not ids:  # a block without rows
+                    continue
+                if matrix is None:
+                    names = np.concatenate(ids)
+                    order = np.argsort(names)
+                    names, matrix = names[order], np.concatenate(held)[order]
+                yield best_of(part, x, names, matrix, k)
+
+    out = rows.unionByName(queries).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks").mapInArrow(run, "src bigint, dst bigint, similarity double")
+    w = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("src", "dst", F.col("rank").cast("long").alias("rank"), "similarity")
+
+
 def nearest_by_expression(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The same for small tables, in expressions only, to check ``nearest`` by; every row meets every other."""
     a = df.select(F.col(key).alias("src"), F.col(vector).alias("a"))

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from vectorscape.functions import text as T
 from vectorscape.functions.tonal import MAJOR, MINOR, encode_key, entropy_bits, scale_alignment
-from vectorscape.functions.vectors import describe
+from vectorscape.functions.tonal import variation as tonal_variation
+from vectorscape.functions.vectors import describe, total
 from vectorscape.operators import audio, community, embedding, graph, knn, layout, quality, retrieval, tags, vectors
 from vectorscape.plans import tables as t
-from vectorscape.sources import catalog
+from vectorscape.sources import catalog, io
+from vectorscape.sources.schemas import METADATA_COLUMNS
+from vectorscape.storage import new_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -116,6 +119,26 @@ def valid_category_filter(spark, sf):
     return type_rows(spark, sf).select("id", T.has_valid_category(F.col("types"), t.EXCLUDED).alias("valid"))
 
 
+@query(f"""WITH {_TYPES}, z AS (SELECT id, CASE WHEN p_type IN ('SMALL', 'ECONOMY') THEN 'Small goods' WHEN p_type = 'LARGE' THEN 'Large goods' WHEN p_type = 'STANDARD' THEN 'Plain goods' END AS g FROM y)
+SELECT id, coalesce(string_agg(DISTINCT g, '|' ORDER BY g), '') AS groups FROM z GROUP BY id""")
+def consolidate_ignoring_case(spark, sf):
+    given = F.transform("types", lambda x: F.concat(F.lit(" "), F.lower(x)))
+    return type_rows(spark, sf).select("id", F.array_join(F.array_sort(T.consolidate(given, t.TAXONOMY, ignore_case=True)), "|").alias("groups"))
+
+
+@query(f"WITH {_TYPES} SELECT id, bool_or(p_type <> 'PROMO') OR id % 2 = 0 AS valid FROM y GROUP BY id")
+def valid_category_text(spark, sf):
+    """Text with a trailing comma for every other order, whose empty part is valid."""
+    given = F.concat(F.array_join("types", ","), F.when(F.col("id") % 2 == 0, ",").otherwise(""))
+    return type_rows(spark, sf).select("id", T.has_valid_category_text(given, t.EXCLUDED).alias("valid"))
+
+
+@query("SELECT l_linenumber, round(stddev_pop(l_quantity) / avg(l_quantity), 6) AS variation, 0e0 AS of_zero FROM lineitem GROUP BY l_linenumber")
+def variation(spark, sf):
+    by = t.table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.avg("l_quantity").cast("double").alias("m"), F.stddev_pop("l_quantity").alias("s"))
+    return r6(by.select("l_linenumber", tonal_variation(F.col("m"), F.col("s")).alias("variation"), tonal_variation(F.lit(0.0), F.col("s")).alias("of_zero")), "variation")
+
+
 @query("""SELECT CAST(d.doc_id AS VARCHAR) AS track_id, lang AS quadrant FROM documents d JOIN labels USING (doc_id) WHERE d.doc_id % 7 <> 0 AND lang IN ('en', 'es')""")
 def require_groups(spark, sf):
     return catalog.filter_tracks(catalog.load_catalog(t.metadata(spark, sf), t.affect(spark, sf)), ["mood", "genre", "theme", "style"]).select("track_id", "quadrant")
@@ -126,6 +149,24 @@ def uniform_sample(spark, sf):
     return catalog.sample_uniform(t.table(spark, sf, "documents").select("doc_id"), 100, "doc_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_distinct"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS song_id, lang AS quadrant, source AS artist, sha256(coalesce(text, '')) AS title_sha256, CAST(n_chars AS VARCHAR) AS duration FROM documents")
+def csv_metadata(spark, sf):
+    """Whole texts as titles, through a CSV file with quotes and line feeds in its cells."""
+    rows = t.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("Song"), F.col("lang").alias("Quadrant"), F.col("source").alias("Artist"), F.coalesce("text", F.lit("")).alias("Title"), F.col("n_chars").alias("Duration"))
+    path = new_path(spark, "csv")
+    io.write_csv(rows, path)
+    columns = {c: METADATA_COLUMNS[c] for c in rows.columns}
+    read = catalog.read_csv(spark, path, columns)
+    return read.select("song_id", "quadrant", "artist", F.sha2(F.coalesce("title", F.lit("")), 256).alias("title_sha256"), "duration")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS track_id, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings")
+def saved_vectors(spark, sf):
+    path = new_path(spark, "vectors")
+    io.save_vectors(t.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("track_id"), "embedding"), path)
+    return io.load_vectors(spark, path).select("track_id", F.size("embedding").cast("long").alias("dim"), F.round(total(F.col("embedding").cast("array<double>")), 5).alias("total"))
+
+
 # Tags
 
 
@@ -199,6 +240,12 @@ def cluster_pair_similarity(spark, sf):
     return r6(tags.cluster_pair_similarity(tags.tag_graph(t.tag_rows(spark, sf), "tags")[1], letter_clusters(spark, sf)), "similarity")
 
 
+@query(f"""WITH {t.TAG_ROWS}, m AS (SELECT tag, ascii(tag) AS cluster_id FROM c), k AS (SELECT cluster_id, 'C' || row_number() OVER (ORDER BY count(*) DESC, cluster_id) AS cluster FROM m GROUP BY cluster_id)
+SELECT tag, cluster FROM m JOIN k USING (cluster_id)""")
+def numbered_clusters(spark, sf):
+    return community.number_clusters(tags.tag_counts(t.tag_rows(spark, sf), "tags").select("tag", F.ascii("tag").alias("cluster_id")))
+
+
 LABELS = {"T1": ["ECONOMY", "SMALL"], "T2": ["LARGE"], "T10": ["PROMO"]}
 _LABELLED = f"""WITH {_TYPES}, z AS (SELECT DISTINCT id, CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'T1' WHEN p_type = 'LARGE' THEN 'T2' WHEN p_type = 'PROMO' THEN 'T10' ELSE 'T0' END AS l FROM y),
 w AS (SELECT id, string_agg(l, ',' ORDER BY l) AS labels FROM z GROUP BY id)"""
