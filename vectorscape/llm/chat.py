@@ -47,8 +47,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2\3", text)
 
 
-def reconstruct(events: DataFrame) -> DataFrame:
-    """(conv_id, position, role, text) from events (conv_id, msg, seq, kind, role, text)."""
+def reconstruct(events: DataFrame, finished: bool = False) -> DataFrame:
+    """(conv_id, position, role, text, msg) from events (conv_id, msg, seq, kind, role, text).
+
+    ``finished``: the log has no deltas, so that no text is shuffled to meet its tail.
+    """
     group = ["conv_id", "msg"]
     e = events.select(*group, "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
     reset = F.col("kind").isin(*RESETS)
@@ -57,6 +60,9 @@ def reconstruct(events: DataFrame) -> DataFrame:
         F.max(F.when(reset, F.struct("seq", "kind", "text"))).alias("head"),
         F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
     )
+    if finished:
+        whole = heads.filter("head.kind <> 'delete'")
+        return whole.select("conv_id", "position", F.coalesce("role", F.lit("")).alias("role"), "head.text", "msg")
     parts = e.filter(~reset).join(heads.select(F.col("conv_id").alias("_c"), F.col("msg").alias("_m"), F.col("head.seq").alias("_at")), F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("msg").eqNullSafe(F.col("_m")))
     parts = parts.filter(F.col("_at").isNull() | (F.col("seq") > F.col("_at"))).groupBy("_c", "_m").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))), lambda x: x["text"]), "").alias("tail"))
     out = heads.join(parts, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("msg").eqNullSafe(F.col("_m")), "left")
@@ -109,8 +115,9 @@ def digests(segments: DataFrame) -> DataFrame:
             done.append((current, state))
             yield flush()
 
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "position", "msg")
-    return ordered.select("conv_id", "segment", "loss_from", "loss_to").mapInArrow(run, schema)
+    # The window brings each conversation together and sorts it, without a shuffle where that has been done.
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("position", "msg"))
+    return segments.select("conv_id", "segment", "loss_from", "loss_to", place.alias("place")).mapInArrow(run, schema)
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
@@ -127,7 +134,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    return digests(render(reconstruct(turn_events(given.unionByName(extra)))))
+    return digests(render(reconstruct(turn_events(given.unionByName(extra)), finished=True)))
 
 
 _ESCAPE = r"regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\])', '\1\2\\\3', 'g')"
