@@ -218,6 +218,20 @@ def test_base_spans():
             assert pii.base_spans(t) == brute_spans(t), t
 
 
+def test_pii_query(spark, sf):
+    """All columns of the query over a whole table, against plain patterns; terms aside, which tests of their own cover."""
+    found = {r.doc_id: r for r in registry.queries()["op5_pii"](spark, sf).collect()}
+    texts = {r.doc_id: r.text or "" for r in shared.table(spark, sf, "documents").select("doc_id", "text").collect()}
+    assert found.keys() == texts.keys()
+    for i, t in texts.items():
+        want, r = brute_spans(t), found[i]
+        names = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in want]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, k, _ in want) for x in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("term:")] == names
+    assert sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in found.values()) > 10
+
+
 def test_disclosing_terms(spark):
     rows = [(i, f"filler{i} note{i} nightowl met ann@x.org {'abc' * (i + 1)} end{i}") for i in range(6)] + [(50 + i, f"other{i} met someone end{i}") for i in range(400)] + [(900, None), (901, "")]
     docs = odd(spark, rows)

@@ -364,5 +364,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    return found.select("doc_id", *map(count, range(4)), F.sha2(joined(F.filter("spans", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
