@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -588,3 +589,73 @@ def test_expressions(spark):
     docs = odd(spark, [*ODD, (20, "// SPDX-License-Identifier: Apache-2.0 OR MIT\ncode")])
     r = {x.doc_id: x for x in licenses.scan_licenses(docs).collect()}
     assert r[20].licences == ["Apache-2.0", "MIT"] and r[20].score == 0.95 and r[1].score == 0.0 and licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+# Queries without SQL: every column over a whole table
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {r.doc_id: r.text or "" for r in shared.table(spark, sf, "documents").select("doc_id", "text").collect()}
+
+
+def by_id(spark, sf, name):
+    rows = registry.queries()[name](spark, sf).collect()
+    out = {r.doc_id: r for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def test_bpe_query(spark, sf, texts):
+    found, enc = by_id(spark, sf, "op2_bpe"), bpe.codec(RANKS, P.PATTERN)
+    assert found.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = enc.encode_ordinary(t)
+        assert (found[i].n_tokens, found[i].ids_sha256, found[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(t))
+
+
+def test_repeats_query(spark, sf, texts):
+    found, names = by_id(spark, sf, "op8_repeats"), sorted(texts)
+    assert found.keys() == texts.keys()
+    raw = [texts[i].encode() for i in names]
+    seen = Counter(hash(t[k : k + 400]) for t in raw for k in range(len(t) - 399))
+    for i, t in zip(names, raw):
+        gone = np.zeros(len(t) + 1, int)
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                gone[k] += 1
+                gone[k + 400] -= 1
+        lost = np.cumsum(gone)[: len(t)] > 0
+        spans = int((np.diff(np.concatenate([[0], lost.astype(int)])) == 1).sum())
+        kept = bytes(np.frombuffer(t, np.uint8)[~lost])
+        r = found[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(lost.sum()), spans, sha(kept))
+    assert sum(r.n_removed > 0 for r in found.values()) > 5
+
+
+def test_license_query(spark, sf, texts):
+    found = by_id(spark, sf, "op10_licenses")
+    assert found.keys() == texts.keys()
+    for i, t in texts.items():
+        w, r = [x.decode() for x in decontaminate.word_list(t)], found[i]
+        hits = [(k, label) for p, label in licenses.BASE_PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        places, labels = [k for k, _ in hits], sorted({x for _, x in hits})
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(hits), min(places, default=None), max(places, default=None), ",".join(labels))
+        named = [x for x in r.labels.split(",") if x]
+        assert named == sorted(set(named)) and set(labels) <= set(named) and 0 <= r.score <= 1 and (r.score == 0 or named)
+
+
+def test_toxicity_query(spark, sf, texts):
+    found = by_id(spark, sf, "op6_toxicity")
+    assert found.keys() == texts.keys()
+    docs = shared.table(spark, sf, "documents")
+    model = toxicity.learn(docs, toxicity.learning_rows(shared.table(spark, sf, "labels")))
+    scanner = toxicity.Scanner(toxicity.Lexicon(model.entries))
+    for i, t in texts.items():
+        r = found[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
+        assert r.score == model.score(scanner.classes(pa.array([t]))[0])
