@@ -514,10 +514,11 @@ def aligned_metadata(spark, sf):
     return retrieval.align(t.table(spark, sf, "embeddings"), meta, "vec_id").withColumnRenamed("vec_id", "doc_id")
 
 
-@query("""SELECT d.doc_id, lang, label AS community, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y FROM documents d LEFT JOIN embeddings ON vec_id = doc_id""")
+@query("""SELECT d.doc_id, lang, coalesce(label, -1) AS community, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y FROM documents d LEFT JOIN embeddings ON vec_id = doc_id""")
 def communities_on_metadata(spark, sf):
     where = projected(spark, sf).select("node", F.get("low", 0).alias("x"), F.get("low", 1).alias("y"))
-    return r6(retrieval.place(t.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", membership(spark, sf), where), "x", "y")
+    out = retrieval.place(t.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", membership(spark, sf), where)
+    return r6(out.withColumn("community", F.coalesce("community", F.lit(-1))), "x", "y")
 
 
 def projected(spark, sf):
