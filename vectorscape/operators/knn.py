@@ -100,19 +100,34 @@ def cell_centres(sample: np.ndarray, cells: int, seed: int = 42, rounds: int = 1
     return centres
 
 
-def approximate_nearest(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", cells: int | None = None, probes: int = 16, sample: int = 100_000, cell_rows: int = 50_000, seed: int = 42) -> DataFrame:
+def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float, n_queries: int = 500) -> int:
+    """How many nearest cells hold the share ``recall`` of the exact neighbours, within the sample, of its first rows."""
+    queries = sample[:n_queries]
+    s = queries @ sample.T
+    s[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    k = max(1, min(k, len(sample) - 1))
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    rank = np.argsort(np.argsort(-(queries @ centres.T), axis=1), axis=1)
+    needed = np.sort(np.take_along_axis(rank, (sample @ centres.T).argmax(1)[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+
+def approximate_nearest(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95, cells: int | None = None, probes: int | None = None, sample: int = 100_000, cell_rows: int = 50_000, seed: int = 42) -> DataFrame:
     """``nearest`` by an inverted file, for tables whose squares are out of reach: each row meets the rows of its ``probes`` nearest cells.
 
-    Cells (by default the square root of the rows, 4,096 at most) are fitted on at most ``sample`` rows; every row
-    is in one. A cell of more than ``cell_rows`` rows is dealt in blocks, each of which all its queries meet, so a
+    Cells (by default the square root of the rows, 4,096 at most) are fitted on at most ``sample`` rows, those with
+    the smallest key hashes; every row is in one. Unless given, ``probes`` is what reaches ``recall`` for 500 rows
+    of the sample against the whole sample, so vectors without groups are probed more widely. A cell of more than ``cell_rows`` rows is dealt in blocks, each of which all its queries meet, so a
     task holds ``cell_rows`` vectors at most. With all cells probed the result is exact.
     """
     df = written(df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")), "vectors")
     n = check_vectors(df, k, "v")
     some = df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toArrow()
     cells = min(cells or max(1, min(4096, round(n**0.5))), some.num_rows)
-    centres = df.sparkSession.sparkContext.broadcast(cell_centres(unit_rows(matrix_of(some.column("v").combine_chunks())), cells, seed))  # at most 4,096 vectors by default
-    probes = min(probes, cells)
+    fitted = unit_rows(matrix_of(some.column("v").combine_chunks()))
+    found = cell_centres(fitted, cells, seed)
+    probes = min(probes or probes_for(fitted, found, k, recall), cells)
+    centres = df.sparkSession.sparkContext.broadcast(found)  # at most 4,096 vectors by default
 
     def dealt(count: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
